@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ramus.llm.license_scan import license_scan
 from ramus.llm.substring_dedup import substring_dedup
+from ramus.llm.token_files import token_output
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,5 +18,17 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(docs.select("doc_id", "text")).select("rec.doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_output(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return license_scan(docs).select("rec.doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup,)}
+    found = (op1_substring_dedup, op2_token_files, op3_license_scan)
+    return {f.__name__: f for f in found}
