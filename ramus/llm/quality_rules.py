@@ -22,7 +22,7 @@ K = 4096
 #: Fixed base rules.
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 #: The measures with the least distance from the quartile to a fence, upper and lower (None: no fence).
-MEASURES = {"symbols": (0.05, None), "dup_lines": (0.2, None), "repeats": (0.15, None), "word_length": (2.0, 2.0)}
+MEASURES = {"symbols": (0.05, None), "dup_lines": (0.4, None), "repeats": (0.3, None), "word_length": (2.0, 2.0)}
 #: A group needs so many texts to have fences of its own.
 MIN_GROUP = 100
 
