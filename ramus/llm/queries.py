@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ramus.llm.decontaminate import decontaminate
 from ramus.llm.license_scan import license_scan
 from ramus.llm.quality_rules import quality_rules
 from ramus.llm.substring_dedup import substring_dedup
@@ -30,11 +31,17 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(docs).select("rec.doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate(docs, _table(spark, sf_dir, "benchmark"))
+    return found.select("rec.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules(_table(spark, sf_dir, "documents"), keep=["doc_id"])
     return found.select("rec.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def queries() -> dict:
-    found = (op1_substring_dedup, op2_token_files, op3_license_scan, op8_quality_rules)
+    found = (op1_substring_dedup, op2_token_files, op3_license_scan, op4_decontaminate, op8_quality_rules)
     return {f.__name__: f for f in found}
