@@ -16,8 +16,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return substring_dedup(docs.select("doc_id", "text")).select("rec.doc_id", "n_words", "n_removed", "kept_sha256")
+    return substring_dedup(_table(spark, sf_dir, "documents"), keep=["doc_id"]).select("rec.doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

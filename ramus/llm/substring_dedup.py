@@ -30,18 +30,21 @@ from ramus.llm.arrowtext import Words, chunks, hashes, ints, mix, sliding_min, s
 
 LAST = (1 << 63) - 1
 #: Text in a task's chunk, and packed super-k-mers aimed at in one bucket.
-MAP_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
+MAP_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20
 
 
 def _pack(arrays: list[np.ndarray], tail: bytes = b"") -> bytes:
+    """int64 arrays of one length by byte planes, which compress well, and a tail."""
     n = len(arrays[0])
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([np.int64(n).tobytes(), *(np.ascontiguousarray(a, np.int64).tobytes() for a in arrays), tail]))
+    planes = [np.ascontiguousarray(np.ascontiguousarray(a, "<i8").view(np.uint8).reshape(n, 8).T).tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([np.int64(n).tobytes(), *planes, tail]))
 
 
 def _unpack(data: bytes, count: int) -> tuple[list[np.ndarray], bytes]:
     data = zstandard.ZstdDecompressor().decompress(data)
     n = int(np.frombuffer(data, np.int64, 1)[0])
-    return [np.frombuffer(data, np.int64, n, 8 + 8 * n * i) for i in range(count)], data[8 + 8 * n * count :]
+    planes = (np.frombuffer(data, np.uint8, 8 * n, 8 + 8 * n * i).reshape(8, n) for i in range(count))
+    return [np.ascontiguousarray(p.T).view("<i8").reshape(n) for p in planes], data[8 + 8 * n * count :]
 
 
 def super_kmers(words: Words, window: int, minimiser: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,10 +82,10 @@ def _to_buckets(batches: Iterator[pa.RecordBatch], window: int, minimiser: int,
         known = order > earliest[same]
         rows: list[tuple[int, bytes]] = []
         if known.any():
-            rows.append((-1 - int(uid[known][0] & 0xFFFFFFFF), _pack([order[known], uid[known], start[known], (start + length)[known]])))
+            rows.append((-1 - int(uid[known][0]), _pack([order[known], uid[known], start[known], (start + length)[known]])))
         bucket = (mix(least) % np.uint64(buckets)).astype(np.int64)
         left = np.flatnonzero(~known)
-        left = left[np.argsort(bucket[left], kind="stable")]
+        left = left[np.lexsort((least[left], bucket[left]))]
         cut = np.flatnonzero(np.diff(bucket[left], prepend=-1))
         for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(left)]):
             own = left[a:b]
@@ -151,9 +154,9 @@ def repeated_spans(docs: DataFrame, window: int = 13, minimiser: int = 3) -> Dat
     return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: _in_buckets(b, window), "key long, uid long, first long, end long")
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _keyed(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("key"), F.xxhash64(F.col(id_col), text).alias("uid"), text.alias("text"), F.struct(*docs.columns).alias("rec"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("key"), F.xxhash64(F.col(id_col), text).bitwiseAND(0xFFFFFFFF).alias("uid"), text.alias("text"), F.struct(*keep).alias("rec"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,16 +180,17 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ], ["rec", "n_words", "n_removed", "kept", "kept_sha256"])
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, minimiser: int = 3) -> DataFrame:
-    """One row per input row: rec (struct of the input's columns), n_words, n_removed, kept, kept_sha256.
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, minimiser: int = 3, keep: list[str] | None = None) -> DataFrame:
+    """One row per input row: rec (struct of ``keep``, by default all columns but the text), n_words, n_removed, kept, kept_sha256.
 
     A word goes if it is in a window whose word sequence also starts in a row with
     a smaller id. Null and blank texts have no words. Rows with the same id don't
     remove each other's words; a null id counts as larger than all others, and as
     equal to other null ids. Texts shorter than the window stay whole. An empty
-    table gives no rows. The input's columns may have any names.
+    table gives no rows. The input's columns may have any names. Rows are told apart
+    by their id and 32 bits of a hash of id and text.
     """
-    keyed = _keyed(docs, id_col, text_col)
+    keyed = _keyed(docs, id_col, text_col, [c for c in docs.columns if c != text_col] if keep is None else keep)
     spans = repeated_spans(keyed, window, minimiser).groupBy("key", "uid").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
     joined = keyed.join(spans.hint("shuffle_hash"), ["key", "uid"], "left").select("rec", "text", F.coalesce("spans", F.array().cast("array<struct<first:long,end:long>>")).alias("spans"))
     schema = f"rec {keyed.schema['rec'].dataType.simpleString()}, n_words long, n_removed long, kept string, kept_sha256 string"
