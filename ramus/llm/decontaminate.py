@@ -44,8 +44,8 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10) -> DataFrame:
-    """One row per input row: rec (struct of the input's columns), hit (array of the
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10, keep: list[str] | None = None) -> DataFrame:
+    """One row per input row: rec (struct of ``keep``, by default all the input's columns), hit (array of the
     places of hit words), items, n_words, n_hit, n_items, items_sha256, contaminated.
 
     Null and blank texts, and items without words, have no windows. An item with
@@ -57,8 +57,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     windows = item_windows(items.select(F.coalesce(items[item_id].cast("string"), F.lit("")).alias("_i"), items[item_text].alias("_t")), "_i", "_t", size).checkpoint()
     n_windows = windows.count()
     text = F.coalesce(docs[text_col], F.lit(""))
-    base = docs.select(F.struct(*docs.columns).alias("rec"), F.xxhash64(docs[id_col], text).alias("uid"), F.xxhash64(F.lit(1), text, docs[id_col]).alias("sum"), text.alias("_text"))
-    split = base.select("uid", "sum", raw_words(F.col("_text")).alias("_w"))
+    keep = docs.columns if keep is None else keep
+    # The text travels once: in rec if it is kept, else beside it.
+    base = docs.select(F.struct(*keep).alias("rec"), F.xxhash64(docs[id_col], text).alias("uid"), F.xxhash64(F.lit(1), text, docs[id_col]).alias("sum"), *([] if text_col in keep else [text.alias("_text")]))
+    text = F.col("rec")[text_col] if text_col in keep else F.col("_text")
+    split = base.select("uid", "sum", raw_words(text).alias("_w"))
     tokens = split.select("uid", "sum", F.size("_w").alias("n"), F.posexplode("_w").alias("pos", "raw")).select("uid", "sum", "n", "pos", fold(F.col("raw")).alias("word"))
     vocabulary = windows.select(F.explode("words").alias("word")).distinct()
     counts = tokens.select("word").join(_small(vocabulary, n_windows * size), "word", "left_semi").groupBy("word").count()
@@ -70,7 +73,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     near = tokens.join(_small(prefix, n_windows), "word").filter(room)
     candidate = F.struct((F.col("pos") - F.col("at")).alias("start"), "words", "items")
     near = near.groupBy("uid", "sum").agg(F.collect_list(candidate).alias("near"))
-    found = base.join(near, ["uid", "sum"], "left").select("rec", "near", raw_words(F.col("_text")).alias("_w"))
+    found = base.join(near, ["uid", "sum"], "left").select("rec", "near", raw_words(text).alias("_w"))
     found = found.select("rec", F.size("_w").cast("long").alias("n_words"), "near", F.when(F.size("near") > 0, F.transform("_w", fold)).alias("_w"))
     true = F.filter("near", lambda c: F.slice("_w", c.start + 1, F.size(c.words)) == c.words)
     true = found.select("rec", "n_words", F.coalesce(true, F.array().cast(found.schema["near"].dataType)).alias("true"))

@@ -214,8 +214,8 @@ def _scan(batches: Iterator[pa.RecordBatch], templates: dict[str, str], phrases:
         yield pa.RecordBatch.from_arrays(columns, ["rec", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"])
 
 
-def license_scan(docs: DataFrame, text_col: str = "text", templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None, min_match: int = 4, max_gap: int = 12, coverage: float = 0.75) -> DataFrame:
-    """One row per input row: rec (struct of the input's columns), n_words, n_base,
+def license_scan(docs: DataFrame, text_col: str = "text", templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None, min_match: int = 4, max_gap: int = 12, coverage: float = 0.75, keep: list[str] | None = None) -> DataFrame:
+    """One row per input row: rec (struct of ``keep``, by default all columns but the text), n_words, n_base,
     first_word, last_word, base_labels, labels, score, spans.
 
     The scan is a projection without a shuffle. A template is reported if its best
@@ -226,7 +226,7 @@ def license_scan(docs: DataFrame, text_col: str = "text", templates: dict[str, s
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    base = docs.select(F.struct(*docs.columns).alias("rec"), F.col(text_col).alias("text"))
+    base = docs.select(F.struct(*([c for c in docs.columns if c != text_col] if keep is None else keep)).alias("rec"), F.col(text_col).alias("text"))
     schema = f"rec {base.schema['rec'].dataType.simpleString()}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<template:string,coverage:double,first:long,last:long>>"
     arrow = to_arrow_schema(_parse_datatype_string(schema))
     args = (templates or TEMPLATES, BASE_PHRASES if phrases is None else phrases, min_match, max_gap, coverage, arrow)

@@ -26,13 +26,11 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return license_scan(docs).select("rec.doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    return license_scan(_table(spark, sf_dir, "documents"), keep=["doc_id"]).select("rec.doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decontaminate(docs, _table(spark, sf_dir, "benchmark"))
+    found = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.select("rec.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
