@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ramus.llm.decontaminate import decontaminate
 from ramus.llm.license_scan import license_scan
 from ramus.llm.quality_rules import quality_rules
+from ramus.llm.sentencepiece_codec import sentencepiece_codec
 from ramus.llm.substring_dedup import substring_dedup
 from ramus.llm.token_files import token_output
 
@@ -34,11 +35,18 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("rec.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = sentencepiece_codec(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"], with_ids=False)
+    return found.select("rec.doc_id", "n_pieces", "n_bytes", "ids_crc32", "round_trip")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules(_table(spark, sf_dir, "documents"), keep=["doc_id"])
     return found.select("rec.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def queries() -> dict:
-    found = (op1_substring_dedup, op2_token_files, op3_license_scan, op4_decontaminate, op8_quality_rules)
+    found = (op1_substring_dedup, op2_token_files, op3_license_scan, op4_decontaminate, op5_sentencepiece, op8_quality_rules)
     return {f.__name__: f for f in found}
