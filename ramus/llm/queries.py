@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ramus.llm.decontaminate import decontaminate
 from ramus.llm.license_scan import license_scan
+from ramus.llm.quality_knn import quality_knn
 from ramus.llm.quality_rules import quality_rules
 from ramus.llm.sentencepiece_codec import sentencepiece_codec
 from ramus.llm.substring_dedup import substring_dedup
 from ramus.llm.token_files import token_output
+from ramus.llm.toxicity import toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +49,16 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("rec.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_knn(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), keep=["doc_id"])
+    return found.select("rec.doc_id", "held_out", "score", "predicted")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), keep=["doc_id"])
+    return found.select("rec.doc_id", "p_toxic", "severity", "grade", "toxic")
+
+
 def queries() -> dict:
-    found = (op1_substring_dedup, op2_token_files, op3_license_scan, op4_decontaminate, op5_sentencepiece, op8_quality_rules)
+    found = (op1_substring_dedup, op2_token_files, op3_license_scan, op4_decontaminate, op5_sentencepiece, op8_quality_rules, op9_quality_knn, op10_toxicity)
     return {f.__name__: f for f in found}
