@@ -61,8 +61,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     # The text travels once: in rec if it is kept, else beside it.
     base = docs.select(F.struct(*keep).alias("rec"), F.xxhash64(docs[id_col], text).alias("uid"), F.xxhash64(F.lit(1), text, docs[id_col]).alias("sum"), *([] if text_col in keep else [text.alias("_text")]))
     text = F.col("rec")[text_col] if text_col in keep else F.col("_text")
-    split = base.select("uid", "sum", raw_words(text).alias("_w"))
-    tokens = split.select("uid", "sum", F.size("_w").alias("n"), F.posexplode("_w").alias("pos", "raw")).select("uid", "sum", "n", "pos", fold(F.col("raw")).alias("word"))
+    # The number of words is made below the generator, which else would copy the whole array to each of its rows.
+    split = base.select("uid", "sum", raw_words(text).alias("_w")).select("uid", "sum", F.size("_w").alias("n"), "_w")
+    tokens = split.select("uid", "sum", "n", F.posexplode("_w").alias("pos", "raw")).select("uid", "sum", "n", "pos", fold(F.col("raw")).alias("word"))
     vocabulary = windows.select(F.explode("words").alias("word")).distinct()
     counts = tokens.select("word").join(_small(vocabulary, n_windows * size), "word", "left_semi").groupBy("word").count()
     # The rarest word of each window; ties by the word, then by its first place.
