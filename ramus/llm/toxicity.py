@@ -6,8 +6,9 @@ words that mark toxic texts (log odds over the sample) are as dense as in the me
 toxic text or denser, else 1. P(grade > k) = sigmoid(w x - cut_k): one weight vector
 for all thresholds, with cut_0 < cut_1. The expected severity is the sum of both.
 
-Features: the known words of a text, log(1 + count) each, scaled by their log odds,
-whatever the text's length, as a few words make a long text toxic. The vocabulary is
+Features: the known words of a text and the beginnings of its longer words, log(1 +
+count) each, scaled by their log odds, whatever the text's length, as a few words
+make a long text toxic. The vocabulary is
 that of a bounded sample; words are known by 64-bit hashes.
 """
 
@@ -21,25 +22,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ramus.llm.arrowtext import LOWER_ALNUM, Words, chunks, hashes
+from ramus.llm.arrowtext import LOWER_ALNUM, Words, binary_array, chunks, flat, hashes, mix
 from ramus.llm.labelled import training_texts
 
 #: Labelled rows that the model is fitted on at most; texts of the sample that a word must be in.
 BOUND, MIN_TEXTS = 6000, 4
+#: Bytes of the beginnings of longer words that are features too, for languages that compound.
+PREFIXES = (4, 6, 8)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def word_counts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bounds of texts, word hashes (uint64) and counts of the distinct words; words of each text."""
+def token_hashes(vocabulary: pa.Array) -> np.ndarray:
+    """For each word a row of hashes: of itself, of its beginnings of PREFIXES bytes (0 where it is shorter)."""
+    raw, offsets = flat(vocabulary)
+    length = np.diff(offsets)
+    out = np.zeros((len(length), 1 + len(PREFIXES)), np.uint64)
+    out[:, 0] = hashes(vocabulary)
+    for i, p in enumerate(PREFIXES):
+        some = np.flatnonzero(length > p)
+        cut = raw[offsets[some][:, None] + np.arange(p)]
+        out[some, 1 + i] = mix(hashes(binary_array(cut.reshape(-1), np.arange(len(some) + 1) * p)) + np.uint64(p))
+    return out
+
+
+def word_counts(column: pa.Array, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bounds of texts, hashes (uint64) and counts of the distinct words and beginnings of words (of those in ``known``, sorted); words of each text."""
     words = Words(column, LOWER_ALNUM, fold=True)
     if not len(words):
         return np.zeros(len(column) + 1, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), words.counts
-    size = len(words.vocabulary)
-    key, count = np.unique(words.text_of * size + words.ids, return_counts=True)
-    return np.searchsorted(key // size, np.arange(len(column) + 1)), hashes(words.vocabulary)[key % size], count, words.counts
+    table = token_hashes(words.vocabulary)
+    if known is not None:
+        table = np.where(known[np.minimum(np.searchsorted(known, table), len(known) - 1)] == table, table, 0) if len(known) else np.zeros_like(table)
+    distinct, number = np.unique(table, return_inverse=True)
+    number = number.reshape(table.shape)[words.ids]
+    key = (words.text_of[:, None] * len(distinct) + number)[table[words.ids] != 0]
+    key, count = np.unique(key, return_counts=True)
+    return np.searchsorted(key // len(distinct), np.arange(len(column) + 1)), distinct[key % len(distinct)], count, words.counts
 
 
 @dataclass
@@ -115,15 +136,16 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int =
 
 def _score(batches: Iterator[pa.RecordBatch], model: Ordinal) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches):
-        bounds, hashed, count, _ = word_counts(batch.column("text"))
+        bounds, hashed, count, _ = word_counts(batch.column("text"), model.words)
         above = model.above(model.margin(bounds, hashed, count))
         grade = (above > 0.5).sum(1).astype(np.int32)
         yield pa.RecordBatch.from_arrays([batch.column("rec"), pa.array(above[:, 0]), pa.array(above.sum(1)), pa.array(grade)], ["rec", "p_toxic", "severity", "grade"])
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", bound: int = BOUND, keep: list[str] | None = None) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", bound: int = BOUND, cut: float = 0.25, keep: list[str] | None = None) -> DataFrame:
     """One row per input row: rec (struct of ``keep``, by default all columns but the
-    text), p_toxic, severity (expected grade, 0 to 2), grade, toxic (grade > 0).
+    text), p_toxic, severity (expected grade, 0 to 2), grade (0 to 2, likeliest by the
+    thresholds), toxic (p_toxic >= cut; below a half, as toxic texts are rare).
 
     Rows whose crc32(id) mod 5 is 0 are never learned from, so that they can tell the
     accuracy. Null and empty texts have the severity of a text without known words.
@@ -135,4 +157,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     keep = [c for c in docs.columns if c != text_col] if keep is None else keep
     base = docs.select(F.struct(*keep).alias("rec"), docs[text_col].alias("text"))
     scored = base.mapInArrow(lambda b: _score(b, model.value), f"rec {base.schema['rec'].dataType.simpleString()}, p_toxic double, severity double, grade int")
-    return scored.withColumn("toxic", F.col("grade") > 0)
+    return scored.withColumn("toxic", F.col("p_toxic") >= cut)
