@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ramus.llm.decontaminate import decontaminate
 from ramus.llm.license_scan import license_scan
+from ramus.llm.lm_score import lm_score
+from ramus.llm.near_dedup import near_dedup
 from ramus.llm.quality_knn import quality_knn
 from ramus.llm.quality_rules import quality_rules
 from ramus.llm.sentencepiece_codec import sentencepiece_codec
@@ -44,6 +46,15 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("rec.doc_id", "n_pieces", "n_bytes", "ids_crc32", "round_trip")
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm_score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), keep=["doc_id"])
+    return found.select("rec.doc_id", "n_tokens", "target_loss", "background_loss", "score")
+
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "copy_of", "class_id")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules(_table(spark, sf_dir, "documents"), keep=["doc_id"])
     return found.select("rec.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -60,5 +71,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_substring_dedup, op2_token_files, op3_license_scan, op4_decontaminate, op5_sentencepiece, op8_quality_rules, op9_quality_knn, op10_toxicity)
+    found = (op1_substring_dedup, op2_token_files, op3_license_scan, op4_decontaminate, op5_sentencepiece, op6_lm_score, op7_near_dedup, op8_quality_rules, op9_quality_knn, op10_toxicity)
     return {f.__name__: f for f in found}
