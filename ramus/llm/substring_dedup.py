@@ -37,7 +37,7 @@ def _pack(arrays: list[np.ndarray], tail: bytes = b"") -> bytes:
     """int64 arrays of one length by byte planes, which compress well, and a tail."""
     n = len(arrays[0])
     planes = [np.ascontiguousarray(np.ascontiguousarray(a, "<i8").view(np.uint8).reshape(n, 8).T).tobytes() for a in arrays]
-    return zstandard.ZstdCompressor(level=3).compress(b"".join([np.int64(n).tobytes(), *planes, tail]))
+    return zstandard.ZstdCompressor(level=6).compress(b"".join([np.int64(n).tobytes(), *planes, tail]))
 
 
 def _unpack(data: bytes, count: int) -> tuple[list[np.ndarray], bytes]:
@@ -146,7 +146,7 @@ def _in_buckets(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.R
         yield out(repeated(parts, window))
 
 
-def repeated_spans(docs: DataFrame, window: int = 13, minimiser: int = 3) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = 13, minimiser: int = 2) -> DataFrame:
     """Word intervals to remove: key, uid, first, end. docs: key, uid, text (see :func:`_keyed`)."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(64, 3 * size // BUCKET_BYTES)
@@ -175,13 +175,15 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = [joined[a : max(a, b - 1)] for a, b in zip(at[kept_per_text[:-1]].tolist(), at[kept_per_text[1:]].tolist())]
         removed = words.counts - np.diff(kept_per_text)
         yield pa.RecordBatch.from_arrays([
-            batch.column("rec"), pa.array(words.counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()),
+            batch.column("rec"), pa.array(words.counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pc.if_else(pa.array(removed > 0), pa.array(kept, pa.binary()).cast(pa.string()), batch.column("text").cast(pa.string())),
             pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
-        ], ["rec", "n_words", "n_removed", "kept", "kept_sha256"])
+        ], ["rec", "n_words", "n_removed", "kept", "cleaned", "kept_sha256"])
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, minimiser: int = 3, keep: list[str] | None = None) -> DataFrame:
-    """One row per input row: rec (struct of ``keep``, by default all columns but the text), n_words, n_removed, kept, kept_sha256.
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, minimiser: int = 2, keep: list[str] | None = None) -> DataFrame:
+    """One row per input row: rec (struct of ``keep``, by default all columns but the text), n_words, n_removed, kept (the
+    kept words joined by one space), cleaned (the text itself where nothing is removed,
+    else kept), kept_sha256.
 
     A word goes if it is in a window whose word sequence also starts in a row with
     a smaller id. Null and blank texts have no words. Rows with the same id don't
@@ -193,5 +195,5 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = _keyed(docs, id_col, text_col, [c for c in docs.columns if c != text_col] if keep is None else keep)
     spans = repeated_spans(keyed, window, minimiser).groupBy("key", "uid").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
     joined = keyed.join(spans.hint("shuffle_hash"), ["key", "uid"], "left").select("rec", "text", F.coalesce("spans", F.array().cast("array<struct<first:long,end:long>>")).alias("spans"))
-    schema = f"rec {keyed.schema['rec'].dataType.simpleString()}, n_words long, n_removed long, kept string, kept_sha256 string"
+    schema = f"rec {keyed.schema['rec'].dataType.simpleString()}, n_words long, n_removed long, kept string, cleaned string, kept_sha256 string"
     return joined.mapInArrow(_cut, schema)
