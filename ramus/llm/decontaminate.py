@@ -63,7 +63,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     text = F.col("rec")[text_col] if text_col in keep else F.col("_text")
     # The number of words is made below the generator, which else would copy the whole array to each of its rows.
     split = base.select("uid", "sum", raw_words(text).alias("_w")).select("uid", "sum", F.size("_w").alias("n"), "_w")
-    tokens = split.select("uid", "sum", "n", F.posexplode("_w").alias("pos", "raw")).select("uid", "sum", "n", "pos", fold(F.col("raw")).alias("word"))
+    # The outer form, as Spark gives the inner one a filter that splits every text again; words aren't null.
+    tokens = split.select("uid", "sum", "n", F.posexplode_outer("_w").alias("pos", "raw")).filter("raw IS NOT NULL").select("uid", "sum", "n", "pos", fold(F.col("raw")).alias("word"))
     vocabulary = windows.select(F.explode("words").alias("word")).distinct()
     counts = tokens.select("word").join(_small(vocabulary, n_windows * size), "word", "left_semi").groupBy("word").count()
     # The rarest word of each window; ties by the word, then by its first place.
