@@ -37,6 +37,16 @@ def _repeated(n: Column, trigrams: Column) -> Column:
     return F.when((n < 3) | (F.size(F.array_distinct(trigrams)) == n - 2), F.lit(0)).otherwise(F.size(covered)).cast("long")
 
 
+def _once(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """The columns of ``keep`` and new ones, which are made once for each row.
+
+    A filter on a projected column is pushed below the projection with a copy of its
+    expression. Nothing is pushed below this generator, which gives one row for each row.
+    """
+    made = F.array(F.struct(*(c.alias(n) for n, c in columns.items())))
+    return df.select(*keep, F.explode_outer(made).alias("_x")).select(*keep, *(F.col("_x")[n].alias(n) for n in columns))
+
+
 def text_measures(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns of ``keep``, n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_words.
 
@@ -44,18 +54,15 @@ def text_measures(docs: DataFrame, text_col: str = "text", keep: list[str] | Non
     """
     keep = docs.columns if keep is None else keep
     text = F.coalesce(F.col(text_col), F.lit(""))
-    words = docs.select(*keep, text.alias("_t"), F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "").alias("_w"))
-    lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    split = _once(docs, keep, _w=F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), ""), _l=lines, n_symbols=F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"))
     w = F.col("_w")
     trigrams = F.slice(F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))), 1, F.greatest(F.size(w) - 2, F.lit(0)))
-    first = words.select(
-        *keep, F.size(w).cast("long").alias("n_words"), F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"),
-        F.regexp_count("_t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"), lines.alias("_l"), trigrams.alias("_g"),
-    )
-    return first.select(
-        *keep, "n_words", "word_chars", "n_symbols", F.size("_l").cast("long").alias("n_lines"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"), _repeated(F.col("n_words"), F.col("_g")).alias("n_repeat_words"),
+    first = _once(
+        split, [*keep, "n_symbols"], n_words=F.size(w).cast("long"), word_chars=F.char_length(F.array_join(w, "")).cast("long"), _g=trigrams,
+        n_lines=F.size("_l").cast("long"), n_dup_lines=(F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
     )
+    return _once(first, [*keep, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines"], n_repeat_words=_repeated(F.col("n_words"), F.col("_g")))
 
 
 def _with_verdict_inputs(measured: DataFrame) -> DataFrame:
@@ -90,14 +97,19 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
 
     Null and blank texts have no words and fail the base rules. A null language or
     source is a group of its own. Repeated rows count each; the sketches are of the
-    texts that pass the base rules. An empty table gives no rows. The measures are
-    computed once and kept in the shared folder's checkpoint (rec included, so give
-    ``keep`` where the text isn't needed).
+    texts that pass the base rules. An empty table gives no rows. Where ``keep`` has
+    the text, texts are measured twice, for the sketches and for the verdict, so that
+    no text is moved or stored; else the measures are checkpointed in between.
     """
     keep = docs.columns if keep is None else keep
-    base = docs.select(F.struct(*(docs[c] for c in keep)).alias("rec"), docs[text_col].alias("_text"), docs[lang_col].alias("_lang"), docs[source_col].alias("_source"))
-    measured = _with_verdict_inputs(text_measures(base, "_text", ["rec", "_lang", "_source"]).drop("_text")).checkpoint()
-    limits = fences(measured.filter(~F.col("base_failed")), fence)
+    group = [docs[lang_col].alias("_lang"), docs[source_col].alias("_source")]
+    base = docs.select(F.struct(*(docs[c] for c in keep)).alias("rec"), *group, docs[text_col].alias("_text"))
+    measured = _with_verdict_inputs(text_measures(base, "_text", ["rec", "_lang", "_source"]))
+    if text_col in keep:
+        slim = _with_verdict_inputs(text_measures(docs.select(*group, docs[text_col].alias("_text")), "_text", ["_lang", "_source"]))
+    else:
+        measured = slim = measured.checkpoint()
+    limits = fences(slim.filter(~F.col("base_failed")), fence).checkpoint()
     return judge(measured, limits).select("rec", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
