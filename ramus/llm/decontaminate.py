@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ramus.llm.shared import once
+
 BROADCAST_ROWS = 200_000
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -75,11 +77,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     near = tokens.join(_small(prefix, n_windows), "word").filter(room)
     candidate = F.struct((F.col("pos") - F.col("at")).alias("start"), "words", "items")
     near = near.groupBy("uid", "sum").agg(F.collect_list(candidate).alias("near"))
-    found = base.join(near, ["uid", "sum"], "left").select("rec", "near", raw_words(text).alias("_w"))
-    found = found.select("rec", F.size("_w").cast("long").alias("n_words"), "near", F.when(F.size("near") > 0, F.transform("_w", fold)).alias("_w"))
+    found = base.join(near, ["uid", "sum"], "left")
+    found = once(found, [*found.columns], _w=raw_words(text))
+    # Only texts with candidates have their words lowered.
+    found = once(found, ["rec", "near"], n_words=F.size("_w").cast("long"), _w=F.when(F.size("near") > 0, F.transform("_w", fold)))
     true = F.filter("near", lambda c: F.slice("_w", c.start + 1, F.size(c.words)) == c.words)
-    true = found.select("rec", "n_words", F.coalesce(true, F.array().cast(found.schema["near"].dataType)).alias("true"))
+    true = once(found, ["rec", "n_words"], true=F.coalesce(true, F.array().cast(found.schema["near"].dataType)))
     hit = F.array_distinct(F.flatten(F.transform("true", lambda c: F.sequence(c.start, c.start + F.size(c.words) - 1))))
     items = F.array_sort(F.array_distinct(F.flatten(F.transform("true", lambda c: c["items"]))))
-    out = true.select("rec", "n_words", hit.alias("hit"), items.alias("items"))
+    out = once(true, ["rec", "n_words"], hit=hit, items=items)
     return out.select("rec", "hit", "items", "n_words", F.size("hit").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.size("hit") > 0).alias("contaminated"))

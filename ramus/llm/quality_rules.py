@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ramus.llm.shared import once
+
 K = 4096
 #: Fixed base rules.
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
@@ -37,16 +39,6 @@ def _repeated(n: Column, trigrams: Column) -> Column:
     return F.when((n < 3) | (F.size(F.array_distinct(trigrams)) == n - 2), F.lit(0)).otherwise(F.size(covered)).cast("long")
 
 
-def _once(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
-    """The columns of ``keep`` and new ones, which are made once for each row.
-
-    A filter on a projected column is pushed below the projection with a copy of its
-    expression. Nothing is pushed below this generator, which gives one row for each row.
-    """
-    made = F.array(F.struct(*(c.alias(n) for n, c in columns.items())))
-    return df.select(*keep, F.explode_outer(made).alias("_x")).select(*keep, *(F.col("_x")[n].alias(n) for n in columns))
-
-
 def text_measures(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns of ``keep``, n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_words.
 
@@ -55,14 +47,14 @@ def text_measures(docs: DataFrame, text_col: str = "text", keep: list[str] | Non
     keep = docs.columns if keep is None else keep
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    split = _once(docs, keep, _w=F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), ""), _l=lines, n_symbols=F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"))
+    split = once(docs, keep, _w=F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), ""), _l=lines, n_symbols=F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"))
     w = F.col("_w")
     trigrams = F.slice(F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))), 1, F.greatest(F.size(w) - 2, F.lit(0)))
-    first = _once(
+    first = once(
         split, [*keep, "n_symbols"], n_words=F.size(w).cast("long"), word_chars=F.char_length(F.array_join(w, "")).cast("long"), _g=trigrams,
         n_lines=F.size("_l").cast("long"), n_dup_lines=(F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
     )
-    return _once(first, [*keep, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines"], n_repeat_words=_repeated(F.col("n_words"), F.col("_g")))
+    return once(first, [*keep, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines"], n_repeat_words=_repeated(F.col("n_words"), F.col("_g")))
 
 
 def _with_verdict_inputs(measured: DataFrame) -> DataFrame:

@@ -1,11 +1,12 @@
-"""Places in storage that the driver and all executors share."""
+"""Places in storage that the driver and all executors share; expressions made once."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,3 +21,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def once(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """The columns of ``keep`` and new ones, which are made once for each row.
+
+    A filter on a projected column is pushed below the projection with a copy of its
+    expression. Nothing is pushed below this generator, which gives one row for each row.
+    """
+    made = F.array(F.struct(*(c.alias(n) for n, c in columns.items())))
+    return df.select(*keep, F.explode_outer(made).alias("_x")).select(*keep, *(F.col("_x")[n].alias(n) for n in columns))
