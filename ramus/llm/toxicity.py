@@ -27,6 +27,8 @@ from ramus.llm.labelled import training_texts
 
 #: Labelled rows that the model is fitted on at most; texts of the sample that a word must be in.
 BOUND, MIN_TEXTS = 6000, 4
+#: Log odds that a feature must have either way to be learned.
+LEAN = 0.5
 #: Bytes of the beginnings of longer words that are features too, for languages that compound.
 PREFIXES = (4, 6, 8)
 
@@ -127,11 +129,18 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = BOUND) -> Ordinal:
     sample = training_texts(docs, labels, label, bound)
-    rows = sample.mapInArrow(_features, f"_id {dict(sample.dtypes)['_id']}, label int, size long, words array<bigint>, counts array<bigint>").toPandas().sort_values("_id", kind="stable")
-    if not len(rows):
-        return fit(np.zeros(1, np.int64), np.empty(0, np.uint64), np.empty(0), np.empty(0), np.empty(0))
-    bounds = np.concatenate([[0], np.cumsum(rows["words"].map(len))])
-    return fit(bounds, np.concatenate(rows["words"].to_list()).astype(np.int64).view(np.uint64), np.concatenate(rows["counts"].to_list()).astype(float), rows["size"].to_numpy(), (rows["label"].to_numpy() > 0).astype(float))
+    rows = sample.mapInArrow(_features, f"_id {dict(sample.dtypes)['_id']}, label int, size long, words array<bigint>, counts array<bigint>").checkpoint()
+    texts = rows.select("_id", "label", "size").toPandas().sort_values("_id", kind="stable")
+    toxic = (texts["label"].to_numpy() > 0).astype(float)
+    if not len(texts) or not toxic.any() or toxic.all():
+        return fit(np.zeros(len(texts) + 1, np.int64), np.empty(0, np.uint64), np.empty(0), texts["size"].to_numpy(), toxic)
+    # Only features that are in enough texts and lean to one side come to the driver.
+    each = rows.select("_id", (F.col("label") > 0).cast("int").alias("bad"), F.explode(F.arrays_zip("words", "counts")).alias("f")).select("_id", "bad", "f.words", "f.counts")
+    total = each.groupBy("words").agg(F.sum("bad").alias("b"), F.sum(1 - F.col("bad")).alias("g")).filter(F.col("b") + F.col("g") >= MIN_TEXTS)
+    lean = F.log((F.col("b") + 0.5) / (toxic.sum() + 1)) - F.log((F.col("g") + 0.5) / ((1 - toxic).sum() + 1))
+    used = each.join(total.filter(F.abs(lean) >= LEAN).select("words"), "words").select("_id", "words", "counts").toPandas().sort_values(["_id", "words"], kind="stable")
+    bounds = np.searchsorted(used["_id"].to_numpy(), texts["_id"].to_numpy())
+    return fit(np.append(bounds, len(used)), used["words"].to_numpy(np.int64).view(np.uint64), used["counts"].to_numpy(float), texts["size"].to_numpy(), toxic)
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Ordinal) -> Iterator[pa.RecordBatch]:
@@ -142,7 +151,7 @@ def _score(batches: Iterator[pa.RecordBatch], model: Ordinal) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([batch.column("rec"), pa.array(above[:, 0]), pa.array(above.sum(1)), pa.array(grade)], ["rec", "p_toxic", "severity", "grade"])
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", bound: int = BOUND, cut: float = 0.25, keep: list[str] | None = None) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", bound: int = BOUND, cut: float = 0.4, keep: list[str] | None = None) -> DataFrame:
     """One row per input row: rec (struct of ``keep``, by default all columns but the
     text), p_toxic, severity (expected grade, 0 to 2), grade (0 to 2, likeliest by the
     thresholds), toxic (p_toxic >= cut; below a half, as toxic texts are rare).
