@@ -137,7 +137,8 @@ def lm_score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     marked = labels.filter(labels[label] == target).select(labels[id_col].alias("_id")).filter("_id IS NOT NULL").distinct().withColumn("target", F.lit(True))
     texts = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("text"))
     # Only ids and flags join before the texts do: AQE broadcasts them while they are small.
-    counts = trigram_counts(texts.join(marked, "_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))).toPandas()
+    # By shuffle whatever the size of the labels, so that the plan is the same at every size.
+    counts = trigram_counts(texts.join(marked.hint("shuffle_hash"), "_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))).toPandas()
     code, n, t = (counts[c].to_numpy() for c in ("code", "n", "t"))
     models = spark.sparkContext.broadcast((Ngram(code, t), Ngram(code, n)))
     keep = [c for c in docs.columns if c != text_col] if keep is None else keep
