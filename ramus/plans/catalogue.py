@@ -386,7 +386,7 @@ def graph_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.consistent(_edges(spark, sf_dir), 50)
 
 
-@query("SELECT doc_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\r\\x00]+'), x -> x <> '')) AS n_tokens FROM documents")
+@query("SELECT doc_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\r\\x00]+'), lambda x: x <> '')) AS n_tokens FROM documents")
 def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[ \t\n\r\x00]+"), "")
     return table(spark, sf_dir, "documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"))
