@@ -29,7 +29,9 @@ from ramus.operators.storage import cut
 
 METHODS = ("complete", "ward", "avg", "avgsq", "single")
 ALIASES = {"average": "avg", "average-sqeuclidean": "avgsq", "dummy": "avg"}
-FINISH = 256
+FINISH = 400
+#: Tables of a row for each cluster are broadcast up to so many clusters (a counted number); beyond it joins shuffle.
+BROADCAST_CLUSTERS = 200_000
 MERGES = "round long, lo long, hi long, height double, size long"
 
 
@@ -61,14 +63,16 @@ def hac_pairs(pairs: DataFrame, ids: DataFrame, method: str, finish: int = FINIS
     left, out, round_no = clusters.count(), [], 0
     while left > max(finish, 1):
         round_no += 1
+        small = F.broadcast if left <= BROADCAST_CLUSTERS else (lambda df: df)
         a, b = clusters.select(F.col("cid").alias("i"), F.col("n").alias("na"), F.col("var").alias("va")), clusters.select(F.col("cid").alias("j"), F.col("n").alias("nb"), F.col("var").alias("vb"))
-        known = pairs.join(a, "i").join(b, "j").withColumn("d", _height(method, F.col("m"), F.col("na"), F.col("nb"), F.col("va"), F.col("vb")))
-        known = cut(known)
+        known = pairs.join(small(a), "i").join(small(b), "j").withColumn("d", _height(method, F.col("m"), F.col("na"), F.col("nb"), F.col("va"), F.col("vb")))
         both = known.select(F.col("i").alias("c"), F.col("j").alias("o"), "d").union(known.select("j", "i", "d"))
-        nn = both.groupBy("c").agg(F.min(F.struct("d", "o")).alias("s")).select("c", F.col("s.o").alias("nn"), F.col("s.d").alias("d"))
+        # Least distance, then least id at it: two hash aggregations instead of one that sorts.
+        least = both.groupBy("c").agg(F.min("d").alias("d"))
+        nn = cut(both.join(small(least), ["c", "d"]).groupBy("c").agg(F.min("o").alias("nn"), F.min("d").alias("d")))
         twin = nn.select(F.col("c").alias("c2"), F.col("nn").alias("nn2"))
         merged = nn.join(twin, (F.col("nn") == F.col("c2")) & (F.col("nn2") == F.col("c"))).filter("c < nn").select(F.col("c").alias("lo"), F.col("nn").alias("hi"), F.col("d").alias("height"))
-        of = merged.join(known.select("i", "j", "m", "na", "nb", "va", "vb"), (F.col("lo") == F.col("i")) & (F.col("hi") == F.col("j")))
+        of = small(merged).join(known.select("i", "j", "m", "na", "nb", "va", "vb"), (F.col("lo") == F.col("i")) & (F.col("hi") == F.col("j")))
         size = F.col("na") + F.col("nb")
         # Around the common centroid: the members' variances and the gap between the two centroids.
         gap = F.greatest(F.col("m") - F.col("va") - F.col("vb"), F.lit(0.0))
@@ -80,7 +84,7 @@ def hac_pairs(pairs: DataFrame, ids: DataFrame, method: str, finish: int = FINIS
         out.append(of.select(F.lit(round_no).cast("long").alias("round"), "lo", "hi", "height", "size"))
         rename = of.select(F.col("lo").alias("old"), F.col("hi").alias("new"))
         x, y = rename.withColumnsRenamed({"old": "i", "new": "ni"}), rename.withColumnsRenamed({"old": "j", "new": "nj"})
-        moved = known.join(x, "i", "left").join(y, "j", "left").select(F.coalesce("ni", "i").alias("p"), F.coalesce("nj", "j").alias("q"), "m", (F.col("na") * F.col("nb")).alias("w")).filter("p <> q")
+        moved = known.join(small(x), "i", "left").join(small(y), "j", "left").select(F.coalesce("ni", "i").alias("p"), F.coalesce("nj", "j").alias("q"), "m", (F.col("na") * F.col("nb")).alias("w")).filter("p <> q")
         pairs = moved.groupBy(F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j")).agg(_combined(method).alias("m"))
         survivors = clusters.join(of.select(F.col("lo").alias("cid")), "cid", "left_anti").join(of.select(F.col("hi").alias("cid"), "size", F.col("var").alias("v")), "cid", "left")
         clusters = cut(survivors.select("cid", F.coalesce("size", "n").alias("n"), F.coalesce("v", "var").alias("var")))
