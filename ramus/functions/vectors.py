@@ -48,11 +48,11 @@ def distance(a, b) -> Column:
 
 
 def min_coords(a, b) -> Column:
-    return F.zip_with(_c(a), _c(b), F.least)
+    return F.zip_with(_c(a), _c(b), lambda x, y: F.least(x, y))
 
 
 def max_coords(a, b) -> Column:
-    return F.zip_with(_c(a), _c(b), F.greatest)
+    return F.zip_with(_c(a), _c(b), lambda x, y: F.greatest(x, y))
 
 
 def quadrant(p, center) -> Column:

@@ -42,8 +42,8 @@ def scan(df: DataFrame, pos: str, value: str, name: str = "scan", op: str = "add
     inner = tagged.withColumn("_in", agg(value).over(frame))
     totals = tagged.groupBy("_b").agg(agg(value).alias("_t"))
     if totals.limit(block + 1).count() > block:
-        # A scan drops its own _b, so the blocks' numbers go in by another name.
-        totals = scan(totals.withColumnRenamed("_b", "_at"), "_at", "_t", "_before", op, block=block).withColumnRenamed("_at", "_b")
+        # A scan drops its own _b and _before, so both pass through it by other names.
+        totals = scan(totals.withColumnRenamed("_b", "_at"), "_at", "_t", "_upto", op, block=block).withColumnsRenamed({"_at": "_b", "_upto": "_before"})
     else:
         totals = totals.withColumn("_before", agg("_t").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)))
     out = inner.join(totals.select("_b", "_before"), "_b")
