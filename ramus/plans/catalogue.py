@@ -364,7 +364,10 @@ def graph_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT r.range AS row, coalesce(sum(count(e.v)) OVER (ORDER BY r.range {_U} 1 PRECEDING), 0)::BIGINT AS start FROM range(3000) r LEFT JOIN ({SYM}) e ON e.u = r.range GROUP BY r.range")
 def csr_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.csr_offsets(G.symmetric(_edges(spark, sf_dir)), 3000)
+    e = G.symmetric(_edges(spark, sf_dir))
+    # A row for each vertex of the data, and for the SQL's ids.
+    last = e.agg(F.max("u")).first()[0]
+    return G.csr_offsets(e, max(3000, 0 if last is None else last + 1))
 
 
 @query("SELECT l_suppkey AS row, round(sum(l_quantity * p_retailprice), 4) AS value FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1")

@@ -3,6 +3,7 @@
 import glob
 import importlib
 import math
+from collections import Counter
 from pathlib import Path
 
 import duckdb
@@ -42,6 +43,14 @@ def test_oracle(spark, duck, name):
     assert canonical(df.collect(), df.columns, sorted(names)) == canonical(found.fetchall(), names, sorted(names))
 
 
+def test_csr_offsets_of_large_ids(spark, tmp_path):
+    edges = [(1, 2), (1, 5000), (7, 4999), (7, 4999), (3, 3)]
+    spark.createDataFrame(edges, "l_suppkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {r.row: r.start for r in catalogue.queries()["csr_offsets"](spark, str(tmp_path)).collect()}
+    degree = Counter(x for e in {(u, v) for u, v in edges if u != v} for x in e)
+    assert got == {x: sum(n for y, n in degree.items() if y < x) for x in range(5001)}
+
+
 def test_scan_over_many_blocks(spark):
     df = spark.range(1000).select("id", (F.col("id") % 7 - 3).alias("x"))
     got = {r.id: r.scan for r in S.scan(df, "id", "x", block=8).collect()}
