@@ -13,7 +13,7 @@ import pytest
 from ramus.llm.decontaminate import decontaminate
 from ramus.llm.license_scan import license_scan
 from ramus.llm.lm_score import Ngram, lm_score
-from ramus.llm.near_dedup import band_distance, close, full_distance, near_dedup
+from ramus.llm.near_dedup import band_distance, close, full_distance, near_dedup, order_min_hash
 from ramus.llm.quality_knn import quality_knn
 from ramus.llm.quality_rules import quality_rules
 from ramus.llm.sentencepiece_codec import encode, load, sentencepiece_codec
@@ -229,6 +229,23 @@ def test_near_dedup(docs, rows, empty):
     assert near_dedup(empty).count() == 0
 
 
+def test_near_dedup_in_groups_with_another_leader(spark):
+    # Texts that share a passage, in pairs; other parameters than the defaults, so that few sketches agree.
+    r = random.Random(2)
+    passage, table = [f"p{i}" for i in range(20)], []
+    for n in range(16):
+        own = [f"{n}w{k}" for k in range(40)]
+        edited = list(own)
+        for k in r.sample(range(40), 7):
+            edited[k] = f"{n}e{k}"
+        table += [" ".join(own[:20] + passage + own[20:]), " ".join(edited[:20] + passage + edited[20:])]
+    sketch = order_min_hash(pa.array(table), 5, 16, 2)
+    agree = {n for n in range(16) if (sketch[2 * n] == sketch[2 * n + 1]).any()}
+    docs = spark.createDataFrame(list(enumerate(table)), "doc_id long, text string")
+    by = {r.doc_id: r.class_id for r in near_dedup(docs, k=5, sketches=16, sampled=2).collect()}
+    assert {n for n in range(16) if by[2 * n] == by[2 * n + 1]} == agree
+
+
 def test_quality_rules(docs, rows, empty):
     want = Counter()
     for i, t, *_ in rows:
