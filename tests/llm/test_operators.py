@@ -246,6 +246,23 @@ def test_near_dedup_in_groups_with_another_leader(spark):
     assert {n for n in range(16) if by[2 * n] == by[2 * n + 1]} == agree
 
 
+def test_near_dedup_finds_what_its_threshold_accepts(spark):
+    r, table = random.Random(4), []
+    for n in range(90):
+        own = [f"{n}w{k}" for k in range(100)]
+        edited = list(own)
+        for k in r.sample(range(100), 10 + 5 * (n % 3)):
+            edited[k] = f"{n}e{k}"
+        table += [" ".join(own), " ".join(edited)]
+    short = ["a b c d e", "a b X d e", "f g h i", "f g Y h i", "k l m n o p q r s", "k l m n Z p q r s", "t u v w", "t u v X", "1 2 3 4 5", "1 2 3 5 4"]
+    docs = spark.createDataFrame(list(enumerate(table + short)), "doc_id long, text string")
+    by = {r.doc_id: r.class_id for r in near_dedup(docs).collect()}
+    assert [by[180 + i] - 180 for i in range(10)] == [0, 0, 2, 2, 4, 4, 6, 7, 8, 9]
+    found = [sum(by[2 * n + 1] == by[2 * n] for n in range(q, 90, 3)) for q in range(3)]
+    print("found of 30 at 0.9, 0.85, 0.8:", found)
+    assert found[:2] == [30, 30] and found[2] >= 29
+
+
 def test_quality_rules(docs, rows, empty):
     want = Counter()
     for i, t, *_ in rows:
