@@ -2,17 +2,18 @@
 
 complete, ward, avg, avgsq and single are reducible, so all pairs of clusters that are
 each other's nearest may merge at once and the dendrogram is the same as by one merge
-at a time; n points take some tens of rounds. A round is a few joins and groupBys:
-
-    state  pairs(i < j, m)   clusters(cid, n, var)
-    m      largest, least, mean or mean squared distance between the members
-    nn     least (distance, id) of each cluster's pairs
-    merge  where nn(nn(i)) = i; the larger id survives
-    pairs  relabelled and aggregated by the two new ids
-
-Ward's height follows from the mean squared distance and the clusters' variances, so
-no centroid is kept. Once few clusters are left (``finish``, a fixed bound), their
-small matrix is finished in one task, which saves the rounds' scheduling.
+at a time; n points take some tens of rounds. What a method has to keep between rounds:
+
+    ward, avgsq   clusters(cid, n, centroid, var): both heights follow from centroids
+                  and variances, so memory is linear; a nearest neighbour is kept until
+                  it or its owner merges, and only the others are looked for again
+    single        the minimum spanning tree of the points by Boruvka rounds, whose n - 1
+                  edges are all the pairs that single linkage needs
+    complete, avg pairs(i < j, m): largest or mean distance of the members, relabelled
+                  and aggregated by the two new ids each round
+
+Once few clusters are left (``finish``, a fixed bound), their small matrix is finished
+in one task, which saves the rounds' scheduling.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ramus.operators.spatial import checked, mutual_reachability, pair_distances
-from ramus.operators.storage import cut
+from ramus.operators.spatial import checked, core_distance, knn, nearest_clusters, pair_distances
+from ramus.operators.storage import Tables, cut
 
 METHODS = ("complete", "ward", "avg", "avgsq", "single")
 ALIASES = {"average": "avg", "average-sqeuclidean": "avgsq", "dummy": "avg"}
@@ -58,8 +59,9 @@ def hac_pairs(pairs: DataFrame, ids: DataFrame, method: str, finish: int = FINIS
     """Merges (round, lo, hi, height, size) from distances. pairs: i < j, m (squared for ward and avgsq); ids: id."""
     method = method_of(method)
     spark = pairs.sparkSession
-    pairs = cut(pairs.select("i", "j", "m"))
-    clusters = cut(ids.select(F.col("id").alias("cid"), F.lit(1).cast("long").alias("n"), F.lit(0.0).alias("var")))
+    store = Tables(spark, "hac")
+    pairs = store.put("pairs", pairs.select("i", "j", "m"))
+    clusters = store.put("clusters", ids.select(F.col("id").alias("cid"), F.lit(1).cast("long").alias("n"), F.lit(0.0).alias("var")))
     left, out, round_no = clusters.count(), [], 0
     while left > max(finish, 1):
         round_no += 1
@@ -69,7 +71,7 @@ def hac_pairs(pairs: DataFrame, ids: DataFrame, method: str, finish: int = FINIS
         both = known.select(F.col("i").alias("c"), F.col("j").alias("o"), "d").union(known.select("j", "i", "d"))
         # Least distance, then least id at it: two hash aggregations instead of one that sorts.
         least = both.groupBy("c").agg(F.min("d").alias("d"))
-        nn = cut(both.join(small(least), ["c", "d"]).groupBy("c").agg(F.min("o").alias("nn"), F.min("d").alias("d")))
+        nn = store.put("nn", both.join(small(least), ["c", "d"]).groupBy("c").agg(F.min("o").alias("nn"), F.min("d").alias("d")))
         twin = nn.select(F.col("c").alias("c2"), F.col("nn").alias("nn2"))
         merged = nn.join(twin, (F.col("nn") == F.col("c2")) & (F.col("nn2") == F.col("c"))).filter("c < nn").select(F.col("c").alias("lo"), F.col("nn").alias("hi"), F.col("d").alias("height"))
         of = small(merged).join(known.select("i", "j", "m", "na", "nb", "va", "vb"), (F.col("lo") == F.col("i")) & (F.col("hi") == F.col("j")))
@@ -77,7 +79,7 @@ def hac_pairs(pairs: DataFrame, ids: DataFrame, method: str, finish: int = FINIS
         # Around the common centroid: the members' variances and the gap between the two centroids.
         gap = F.greatest(F.col("m") - F.col("va") - F.col("vb"), F.lit(0.0))
         var = (F.col("na") * F.col("va") + F.col("nb") * F.col("vb")) / size + F.col("na") * F.col("nb") / (size * size) * gap
-        of = cut(of.select("lo", "hi", "height", size.alias("size"), var.alias("var")))
+        of = store.put(f"merged{round_no}", of.select("lo", "hi", "height", size.alias("size"), var.alias("var")))
         n_merged = of.count()
         if not n_merged:
             raise RuntimeError("a round without a merge: the distances hold NaN")
@@ -87,8 +89,8 @@ def hac_pairs(pairs: DataFrame, ids: DataFrame, method: str, finish: int = FINIS
         moved = known.join(small(x), "i", "left").join(small(y), "j", "left").select(F.coalesce("ni", "i").alias("p"), F.coalesce("nj", "j").alias("q"), "m", (F.col("na") * F.col("nb")).alias("w")).filter("p <> q")
         pairs = moved.groupBy(F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j")).agg(_combined(method).alias("m"))
         survivors = clusters.join(of.select(F.col("lo").alias("cid")), "cid", "left_anti").join(of.select(F.col("hi").alias("cid"), "size", F.col("var").alias("v")), "cid", "left")
-        clusters = cut(survivors.select("cid", F.coalesce("size", "n").alias("n"), F.coalesce("v", "var").alias("var")))
-        pairs = cut(pairs)
+        clusters = store.put("clusters", survivors.select("cid", F.coalesce("size", "n").alias("n"), F.coalesce("v", "var").alias("var")))
+        pairs = store.put("pairs", pairs)
         left -= n_merged
     if left > 1:
         out.append(_finish(pairs, clusters, method, round_no))
@@ -144,22 +146,69 @@ def _finish(pairs: DataFrame, clusters: DataFrame, method: str, round_no: int) -
     return rows.coalesce(1).mapInPandas(run, MERGES)
 
 
+def hac_centroids(points: DataFrame, method: str, finish: int = FINISH) -> DataFrame:
+    """Merges by ward or avgsq from the clusters' sizes, centroids and variances alone. points: id, v."""
+    spark = points.sparkSession
+    store = Tables(spark, "hac")
+    clusters = store.put("clusters", points.select("id", "v", F.lit(1).cast("long").alias("n"), F.lit(0.0).alias("var"), F.lit(None).cast("long").alias("nn"), F.lit(None).cast("double").alias("d")))
+    left, out, round_no, again = clusters.count(), [], 0, False
+    while left > max(finish, 1):
+        round_no += 1
+        found = nearest_clusters(clusters.withColumn("stale", F.lit(True) if again else F.col("nn").isNull()), method)
+        fresh = clusters.select("id", "v", "n", "var", *([] if again else [F.col("nn").alias("_nn"), F.col("d").alias("_d")])).join(found, "id", "left")
+        known = store.put("known", fresh if again else fresh.withColumns({"nn": F.coalesce("_nn", "nn"), "d": F.coalesce("_d", "d")}).drop("_nn", "_d"))
+        a = known.select(F.col("id").alias("lo"), F.col("nn").alias("hi"), F.col("d").alias("height"), F.col("n").alias("na"), F.col("v").alias("ca"), F.col("var").alias("va")).filter("lo < hi")
+        b = known.select(F.col("id").alias("hi"), F.col("nn").alias("lo"), F.col("n").alias("nb"), F.col("v").alias("cb"), F.col("var").alias("vb"))
+        size = F.col("na") + F.col("nb")
+        centre = F.zip_with("ca", "cb", lambda x, y: (x * F.col("na") + y * F.col("nb")) / (F.col("na") + F.col("nb")))
+        gap = F.aggregate(F.zip_with("ca", "cb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+        var = (F.col("na") * F.col("va") + F.col("nb") * F.col("vb")) / size + F.col("na") * F.col("nb") / (size * size) * gap
+        of = store.put(f"merged{round_no}", a.join(b, ["lo", "hi"]).select("lo", "hi", "height", size.alias("size"), centre.alias("c"), var.alias("cvar")))
+        n_merged = of.count()
+        if not n_merged:
+            # Rounding in kept distances; with all of them new there is always a pair.
+            if again:
+                raise RuntimeError("a round without a merge: the distances hold NaN")
+            again = True
+            continue
+        again = False
+        out.append(of.select(F.lit(round_no).cast("long").alias("round"), "lo", "hi", "height", "size"))
+        gone = of.select(F.explode(F.array("lo", "hi")).alias("nn"), F.lit(True).alias("_gone"))
+        rest = known.join(of.select(F.col("lo").alias("id")), "id", "left_anti").join(of.select(F.col("hi").alias("id"), "size", "c", "cvar"), "id", "left").join(gone, "nn", "left")
+        keeps = F.col("size").isNull() & F.col("_gone").isNull()
+        clusters = store.put("clusters", rest.select("id", F.coalesce("c", "v").alias("v"), F.coalesce("size", "n").alias("n"), F.coalesce("cvar", "var").alias("var"), F.when(keeps, F.col("nn")).alias("nn"), F.when(keeps, F.col("d")).alias("d")))
+        left -= n_merged
+    if left > 1:
+        own = lambda i, n, v: clusters.select(F.col("id").alias(i), F.col("var").alias(v))
+        m = pair_distances(clusters.select("id", "v"), squared=True).join(own("i", "na", "va"), "i").join(own("j", "nb", "vb"), "j").select("i", "j", (F.col("d") + F.col("va") + F.col("vb")).alias("m"))
+        out.append(_finish(m, clusters.select(F.col("id").alias("cid"), "n", "var"), method, round_no))
+    result = spark.createDataFrame([], MERGES)
+    for part in out:
+        result = result.unionByName(part)
+    return result
+
+
 def hac(points: DataFrame, method: str, id_col: str = "id", v_col: str = "v", finish: int = FINISH) -> DataFrame:
     """Merges of all points: round, lo and hi (cluster ids, the largest of their points'), height, size.
 
     avgsq heights are squared distances. No points, or one, give no merges. Ties go to
-    the smaller neighbour id. Ids must be unique.
+    the smaller neighbour id, in single linkage to the spanning tree's edge. Ids must
+    be unique.
     """
     method = method_of(method)
-    points = cut(checked(points, id_col, v_col))
-    pairs = pair_distances(points, squared=method in ("ward", "avgsq")).withColumnRenamed("d", "m")
-    return hac_pairs(pairs, points.select("id"), method, finish)
+    points = cut(checked(points, id_col, v_col), "points")
+    if method in ("ward", "avgsq"):
+        return hac_centroids(points, method, finish)
+    if method == "single":
+        return hac_pairs(spanning_tree(points).select(F.col("u").alias("i"), F.col("v").alias("j"), F.col("w").alias("m")), points.select("id"), "single", finish)
+    return hac_pairs(pair_distances(points).withColumnRenamed("d", "m"), points.select("id"), method, finish)
 
 
 def hdbscan_merges(points: DataFrame, min_pts: int = 2, finish: int = FINISH) -> DataFrame:
-    """Single linkage over mutual reachability distances."""
-    points = cut(checked(points))
-    return hac_pairs(mutual_reachability(points, min_pts).withColumnRenamed("d", "m"), points.select("id"), "single", finish)
+    """Single linkage over mutual reachability distances, from their spanning tree."""
+    points = cut(checked(points), "points")
+    tree = spanning_tree(points.join(core_distance(points, min_pts), "id"), core="core")
+    return hac_pairs(tree.select(F.col("u").alias("i"), F.col("v").alias("j"), F.col("w").alias("m")), points.select("id"), "single", finish)
 
 
 def cost(merges: DataFrame) -> DataFrame:
@@ -173,14 +222,16 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     Labels grow along edges and jump to their label's own label, so a chain of n
     takes about log n rounds.
     """
-    both = cut(edges.select("u", "v").union(edges.select("v", "u")).filter("u <> v").distinct())
-    label = cut(nodes.select("id", F.col("id").alias("label")).distinct())
+    store = Tables(edges.sparkSession, "components")
+    both = store.put("edges", edges.select("u", "v").union(edges.select("v", "u")).filter("u <> v").distinct())
+    label = store.put("label", nodes.select("id", F.col("id").alias("label")).distinct())
     while True:
         near = both.join(label, both["v"] == label["id"]).groupBy("u").agg(F.max("label").alias("near"))
         step = label.join(near, label["id"] == near["u"], "left").select("id", "label", F.greatest("label", F.coalesce("near", "label")).alias("next"))
         root = label.select(F.col("id").alias("_i"), F.col("label").alias("_l"))
-        new = cut(step.join(root, step["next"] == root["_i"]).select("id", F.col("label").alias("old"), F.col("_l").alias("label")))
+        new = store.put("label", step.join(root, step["next"] == root["_i"]).select("id", F.col("label").alias("old"), F.col("_l").alias("label")))
         if not new.filter("old <> label").limit(1).count():
+            store.drop("edges")
             return new.select("id", "label")
         label = new.select("id", "label")
 
@@ -190,16 +241,65 @@ def fcluster(merges: DataFrame, ids: DataFrame, height: float) -> DataFrame:
     return components(merges.filter(F.col("height") <= height).select(F.col("lo").alias("u"), F.col("hi").alias("v")), ids)
 
 
+def _contracted(best: DataFrame, store: Tables) -> DataFrame:
+    """a, root: where each component ends up after all have joined the one that they chose. best: a, to.
+
+    Choices have no cycle but of two that chose each other, of which the larger id is the
+    root; pointers jump to their pointer's pointer.
+    """
+    twin = best.select(F.col("a").alias("_t"), F.col("to").alias("_b"))
+    up = best.join(twin, best["to"] == twin["_t"], "left")
+    # Who is chosen but chooses nobody (no edge leaves it) doesn't occur: edges leave both ends.
+    up = store.put("up", up.select("a", F.when((F.col("_b") == F.col("a")) & (F.col("a") > F.col("to")), F.col("a")).otherwise(F.col("to")).alias("root")))
+    while True:
+        on = up.select(F.col("a").alias("_a"), F.col("root").alias("_r"))
+        new = store.put("up", up.join(on, up["root"] == on["_a"]).select("a", F.col("root").alias("old"), F.col("_r").alias("root")))
+        if not new.filter("old <> root").limit(1).count():
+            return new.select("a", "root")
+        up = new.select("a", "root")
+
+
 def mst(edges: DataFrame, ids: DataFrame) -> DataFrame:
-    """u < v, w of the minimum spanning forest by Boruvka rounds; ties by (w, u, v). edges: u, v, w."""
-    edges = cut(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "w").filter("u <> v"))
-    label, found = cut(ids.select("id", F.col("id").alias("label"))), None
+    """u < v, w of the minimum spanning forest by Boruvka rounds; ties by (w, u, v). edges: u, v, w.
+
+    Each round takes the least edge of every component, contracts by these edges alone and
+    keeps one edge, the least, between two components. ids isn't needed and not read.
+    """
+    store, found = Tables(edges.sparkSession, "mst"), []
+    ordered = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "w").filter("u <> v")
+    left = store.put("edges", ordered.select(F.col("u").alias("a"), F.col("v").alias("b"), "w", "u", "v"))
+    while True:
+        both = left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b"), "w", "u", "v"))
+        best = store.put(f"best{len(found)}", both.groupBy("a").agg(F.min(F.struct("w", "u", "v", "b")).alias("s")).select("a", F.col("s.b").alias("to"), "s.u", "s.v", "s.w"))
+        found.append(best.select("u", "v", "w").distinct())
+        if not best.limit(1).count():
+            out = found[0]
+            for part in found[1:]:
+                out = out.union(part)
+            return out
+        root = _contracted(best, store)
+        x, y = root.withColumnsRenamed({"a": "a", "root": "ra"}), root.withColumnsRenamed({"a": "b", "root": "rb"})
+        moved = left.join(x, "a").join(y, "b").filter("ra <> rb").groupBy(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).agg(F.min(F.struct("w", "u", "v")).alias("s"))
+        left = store.put("edges", moved.select("a", "b", "s.w", "s.u", "s.v"))
+
+
+def spanning_tree(points: DataFrame, core: str | None = None) -> DataFrame:
+    """u < v, w: the minimum spanning tree of points (id, v), with no table of their pairs.
+
+    Boruvka rounds: each point's nearest one of another component (with ``core``, by mutual
+    reachability), the least of them for each component, and contraction.
+    """
+    store, found = Tables(points.sparkSession, "tree"), []
+    label = store.put("label", points.select("id", F.col("id").alias("label")))
+    out = None
     while True:
-        x, y = label.withColumnsRenamed({"id": "u", "label": "a"}), label.withColumnsRenamed({"id": "v", "label": "b"})
-        out = edges.join(x, "u").join(y, "v").filter("a <> b")
-        best = F.min(F.struct("w", "u", "v")).alias("s")
-        new = cut(out.select("a", "w", "u", "v").union(out.select(F.col("b").alias("a"), "w", "u", "v")).groupBy("a").agg(best).select("s.u", "s.v", "s.w").distinct())
-        if not new.limit(1).count():
-            return found if found is not None else new
-        found = new if found is None else cut(found.union(new))
-        label = components(found.select("u", "v"), ids)
+        near = knn(points.join(label, "id"), 1, group="label", core=core).select("id", "nn", "d")
+        own, far = label.select("id", F.col("label").alias("a")), label.select(F.col("id").alias("nn"), F.col("label").alias("b"))
+        edges = near.join(own, "id").join(far, "nn").select("a", "b", F.col("d").alias("w"), F.least("id", "nn").alias("u"), F.greatest("id", "nn").alias("v"))
+        best = store.put(f"best{len(found)}", edges.groupBy("a").agg(F.min(F.struct("w", "u", "v", "b")).alias("s")).select("a", F.col("s.b").alias("to"), "s.u", "s.v", "s.w"))
+        found.append(best.select("u", "v", "w").distinct())
+        out = found[0] if out is None else out.union(found[-1])
+        if best.limit(3).count() <= 2:
+            return out
+        root = _contracted(best, store).withColumnRenamed("a", "label")
+        label = store.put("label", label.join(root, "label").select("id", F.col("root").alias("label")))

@@ -75,8 +75,11 @@ def pair_distances(points: DataFrame, squared: bool = False) -> DataFrame:
     return by_block_pairs(points, kernel, "i long, j long, d double")
 
 
-def knn(points: DataFrame, k: int, include_self: bool = False, group: str | None = None) -> DataFrame:
-    """id, rank (from 1), nn, d: the k nearest others (of another ``group`` if one is named), ties by the smaller id."""
+def knn(points: DataFrame, k: int, include_self: bool = False, group: str | None = None, core: str | None = None) -> DataFrame:
+    """id, rank (from 1), nn, d: the k nearest others (of another ``group`` if one is named), ties by the smaller id.
+
+    With ``core`` distances are mutual reachability: no smaller than either's core distance.
+    """
 
     def kernel(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
         out = []
@@ -84,6 +87,8 @@ def knn(points: DataFrame, k: int, include_self: bool = False, group: str | None
             if not len(x) or not len(y):
                 continue
             d = np.sqrt(_distances(_vectors(x), _vectors(y)))
+            if core:
+                d = np.maximum(d, np.maximum(x[core].to_numpy()[:, None], y[core].to_numpy()[None, :]))
             banned = x[group].to_numpy()[:, None] == y[group].to_numpy()[None, :] if group else (x["id"].to_numpy()[:, None] == y["id"].to_numpy()[None, :]) & (not include_self)
             d = np.where(banned, np.inf, d)
             # y is in order of ids, so a stable sort settles ties.
@@ -98,6 +103,32 @@ def knn(points: DataFrame, k: int, include_self: bool = False, group: str | None
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("id", F.col("rank").cast("long").alias("rank"), "nn", "d")
 
 
+def nearest_clusters(clusters: DataFrame, method: str) -> DataFrame:
+    """id, nn, d: of each stale cluster the nearest other one by ward or avgsq, ties by the smaller id.
+
+    clusters: id, v (centroid), n, var (mean squared distance of the members from it), stale.
+    """
+
+    def kernel(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
+        out = []
+        for x, y in [(left, right)] if same else [(left, right), (right, left)]:
+            x = x[x["stale"]]
+            if not len(x) or not len(y):
+                continue
+            gap = _distances(_vectors(x), _vectors(y))
+            n, m = x["n"].to_numpy(float)[:, None], y["n"].to_numpy(float)[None, :]
+            d = np.sqrt(2 * n * m / (n + m) * gap) if method == "ward" else gap + (x["var"].to_numpy()[:, None] + y["var"].to_numpy()[None, :])
+            d[x["id"].to_numpy()[:, None] == y["id"].to_numpy()[None, :]] = np.inf
+            near = d.argmin(1)
+            best = d[np.arange(len(x)), near]
+            some = np.isfinite(best)
+            out.append(pd.DataFrame({"id": x["id"].to_numpy()[some], "nn": y["id"].to_numpy()[near[some]], "d": best[some]}))
+        return pd.concat(out) if out else pd.DataFrame({"id": [], "nn": [], "d": []}).astype({"id": "int64", "nn": "int64", "d": "float64"})
+
+    found = by_block_pairs(clusters.select("id", "v", "n", "var", "stale"), kernel, "id long, nn long, d double")
+    return found.groupBy("id").agg(F.min(F.struct("d", "nn")).alias("s")).select("id", "s.nn", "s.d")
+
+
 def all_nn(points: DataFrame) -> DataFrame:
     """id, nn, d."""
     return knn(points, 1).select("id", "nn", "d")
