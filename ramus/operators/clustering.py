@@ -30,7 +30,7 @@ from ramus.operators.storage import Tables, cut
 
 METHODS = ("complete", "ward", "avg", "avgsq", "single")
 ALIASES = {"average": "avg", "average-sqeuclidean": "avgsq", "dummy": "avg"}
-FINISH = 400
+FINISH = 1024
 #: Tables of a row for each cluster are broadcast up to so many clusters (a counted number); beyond it joins shuffle.
 BROADCAST_CLUSTERS = 200_000
 MERGES = "round long, lo long, hi long, height double, size long"
