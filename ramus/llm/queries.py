@@ -52,7 +52,7 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "copy_of", "class_id")
+    return near_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "copy_of", "class_id", "n_links")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

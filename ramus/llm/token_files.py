@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ramus.llm.arrowtext import binary_array, chunks, flat, ints
-from ramus.llm.shared import fresh_path
+from ramus.operators.storage import fresh_path
 
 MAGIC = b"RMTOK001"
 BLOCK_IDS = 4096
