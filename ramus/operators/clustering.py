@@ -216,21 +216,24 @@ def cost(merges: DataFrame) -> DataFrame:
     return merges.agg(F.count("*").alias("n_merges"), F.coalesce(F.sum("height"), F.lit(0.0)).alias("cost"))
 
 
-def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """id, label: the largest id of each connected component. edges: u, v; nodes: id.
+def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """id, label: the largest id of each connected component. edges: u, v; nodes: id (by default the edges' ends).
 
     Labels grow along edges and jump to their label's own label, so a chain of n
     takes about log n rounds.
     """
     store = Tables(edges.sparkSession, "components")
-    both = store.put("edges", edges.select("u", "v").union(edges.select("v", "u")).filter("u <> v").distinct())
-    label = store.put("label", nodes.select("id", F.col("id").alias("label")).distinct())
+    both = edges.select("u", "v").union(edges.select("v", "u")).filter("u <> v")
+    if nodes is not None:
+        both = both.union(nodes.select("id", "id"))
+    both = store.put("edges", both.distinct())
+    label = store.put("label", both.groupBy(F.col("u").alias("id")).agg(F.max("v").alias("label")).withColumn("label", F.greatest("id", "label")))
     while True:
         near = both.join(label, both["v"] == label["id"]).groupBy("u").agg(F.max("label").alias("near"))
-        step = label.join(near, label["id"] == near["u"], "left").select("id", "label", F.greatest("label", F.coalesce("near", "label")).alias("next"))
+        step = label.join(near, label["id"] == near["u"]).select("id", "label", F.greatest("label", "near").alias("next"))
         root = label.select(F.col("id").alias("_i"), F.col("label").alias("_l"))
         new = store.put("label", step.join(root, step["next"] == root["_i"]).select("id", F.col("label").alias("old"), F.col("_l").alias("label")))
-        if not new.filter("old <> label").limit(1).count():
+        if new.filter("old <> label").isEmpty():
             store.drop("edges")
             return new.select("id", "label")
         label = new.select("id", "label")
@@ -254,7 +257,7 @@ def _contracted(best: DataFrame, store: Tables) -> DataFrame:
     while True:
         on = up.select(F.col("a").alias("_a"), F.col("root").alias("_r"))
         new = store.put("up", up.join(on, up["root"] == on["_a"]).select("a", F.col("root").alias("old"), F.col("_r").alias("root")))
-        if not new.filter("old <> root").limit(1).count():
+        if new.filter("old <> root").isEmpty():
             return new.select("a", "root")
         up = new.select("a", "root")
 
@@ -272,7 +275,7 @@ def mst(edges: DataFrame, ids: DataFrame) -> DataFrame:
         both = left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b"), "w", "u", "v"))
         best = store.put(f"best{len(found)}", both.groupBy("a").agg(F.min(F.struct("w", "u", "v", "b")).alias("s")).select("a", F.col("s.b").alias("to"), "s.u", "s.v", "s.w"))
         found.append(best.select("u", "v", "w").distinct())
-        if not best.limit(1).count():
+        if best.isEmpty():
             out = found[0]
             for part in found[1:]:
                 out = out.union(part)
