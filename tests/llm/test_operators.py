@@ -103,6 +103,18 @@ def test_token_files(spark, docs, rows, empty):
     assert token_output(empty, path).count() == 0
 
 
+def test_token_files_read_special_strings_as_a_plain_call_does(spark):
+    from tokenizers import Tokenizer
+
+    path, r, end = public_tokenizers.path("byte_bpe_50k.json"), random.Random(6), "<|endoftext|>"
+    parts = [end, end[:-1], end[1:], " ", "  ", "\n", "a", "don't", "It's", "é", "中", "12", "!", "|", "<", ">", "\t"]
+    table = [f"hello {end} world", end, end * 3, f"a  {end}  b"] + ["".join(r.choice(parts) for _ in range(r.randint(1, 30))) for _ in range(600)]
+    got = {x.doc_id: x.ids for x in token_output(spark.createDataFrame(list(enumerate(table)), "doc_id long, text string").repartition(2), path, digest=False).collect()}
+    tokenizer = Tokenizer.from_file(path)
+    assert all(got[i] == [*tokenizer.encode(t, add_special_tokens=False).ids, 0] for i, t in enumerate(table))
+    assert 50256 in got[0]
+
+
 @pytest.mark.parametrize("bits", [1, 5, 16, 17, 31, 32])
 def test_packing(bits):
     ids = np.random.default_rng(bits).integers(0, 1 << bits, 1000).astype(np.uint32)
