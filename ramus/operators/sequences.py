@@ -17,12 +17,12 @@ BLOCK = 1 << 14
 
 
 def with_rank(df: DataFrame, by: list[str], name: str = "pos", start: int = 0) -> DataFrame:
-    """Numbers the rows in the order of ``by`` (unique, or ties fall anyhow), without a single sorting task."""
+    """Numbers the rows in the order of ``by`` without a single sorting task. Rows with equal ``by`` get
+    neighbouring numbers in any order, so callers that need one order name columns that are unique together."""
     dealt = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_id", F.monotonically_increasing_id())
     dealt = cut(dealt.withColumn("_p", F.shiftright("_id", 33)))
     # A row for each partition.
-    sizes = dealt.groupBy("_p").count()
-    base = sizes.alias("a").join(sizes.alias("b"), F.col("b._p") < F.col("a._p"), "left").groupBy("a._p").agg(F.coalesce(F.sum("b.count"), F.lit(0)).alias("_base"))
+    base = scan(dealt.groupBy("_p").count(), "_p", "count", "_base").select("_p", "_base")
     return dealt.join(F.broadcast(base), "_p").withColumn(name, F.col("_id").bitwiseAND((1 << 33) - 1) + F.col("_base") + start).drop("_p", "_id", "_base")
 
 
@@ -90,7 +90,7 @@ def sort_offsets(df: DataFrame, key: str, buckets: int) -> DataFrame:
 
 def kth_smallest(df: DataFrame, value: str, tie: str, k: int) -> DataFrame:
     """The row of rank k, from 0."""
-    return df.orderBy(value, tie).limit(k + 1).orderBy(F.desc(value), F.desc(tie)).limit(1)
+    return with_rank(df, [value, tie], "_k").filter(F.col("_k") == k).drop("_k")
 
 
 def merge_sorted(a: DataFrame, b: DataFrame, key: str, name: str = "pos") -> DataFrame:

@@ -153,8 +153,8 @@ def ball_join(points: DataFrame, centers: DataFrame, radius: float, dims: int |
     Grid cells of the radius' width over the first ``dims`` dimensions (3 at most);
     a centre joins the 3^dims cells around its own.
     """
-    dims = min(dims or 3, 3)
-    cell = lambda v: [F.floor(F.element_at(v, k + 1) / radius) for k in range(dims)]
+    dims, width = min(dims or 3, 3), radius or 1.0
+    cell = lambda v: [F.floor(F.element_at(v, k + 1) / width) for k in range(dims)]
     d_of = centers.select(F.size("c")).first()
     dims = min(dims, d_of[0]) if d_of else 1
     keys = [f"_k{k}" for k in range(dims)]
@@ -168,11 +168,11 @@ def ball_join(points: DataFrame, centers: DataFrame, radius: float, dims: int |
 
 def box_join(points: DataFrame, centers: DataFrame, half: float) -> DataFrame:
     """center, id of all points in the cube of half-width ``half`` around a centre."""
-    dims = min(3, (centers.select(F.size("c")).first() or [1])[0])
-    left = points.select("id", "v", *(F.floor(F.element_at("v", k + 1) / half).alias(f"_k{k}") for k in range(dims)))
+    dims, width = min(3, (centers.select(F.size("c")).first() or [1])[0]), half or 1.0
+    left = points.select("id", "v", *(F.floor(F.element_at("v", k + 1) / width).alias(f"_k{k}") for k in range(dims)))
     right = centers
     for k in range(dims):
-        c = F.floor(F.element_at("c", k + 1) / half)
+        c = F.floor(F.element_at("c", k + 1) / width)
         right = right.withColumn(f"_k{k}", F.explode(F.sequence(c - 1, c + 1)))
     return left.join(right, [f"_k{k}" for k in range(dims)]).filter(~V.out_of_cube("v", "c", half)).select("center", "id")
 

@@ -171,7 +171,18 @@ def _hac_cost(method: str) -> Query:
 for _m in ("complete", "ward", "avg", "avgsq"):
     query()(_hac_cost(_m))
 
-query()(_hac_cost("single"))
+
+def _prim(points: str, d: str, first: str = "") -> str:
+    """Prim's algorithm, a vertex a step: n_edges and weight of the spanning tree. d: distance of a and b."""
+    return (
+        f"WITH RECURSIVE {first} pts AS ({points}), "
+        f"prim(k, id, d, w) AS (SELECT 0, b.id, {d}, 0.0::DOUBLE FROM pts a JOIN pts b ON a.id <> b.id WHERE a.id = (SELECT min(id) FROM pts) "
+        f"UNION ALL SELECT k + 1, r.id, least(r.d, {d}), w + pd FROM (SELECT *, first_value(id) OVER (ORDER BY d, id) AS pick, min(d) OVER () AS pd FROM prim) r JOIN pts a ON a.id = r.pick JOIN pts b ON b.id = r.id WHERE r.id <> r.pick) "
+        f"SELECT k + 1 AS n, w + d AS weight FROM prim ORDER BY k DESC LIMIT 1"
+    )
+
+
+query(f"SELECT n::BIGINT AS n_merges, round(weight, 6) AS cost FROM ({_prim(f'SELECT id, v FROM {E}', DIST)})")(_hac_cost("single"))
 
 
 @query()
@@ -186,7 +197,7 @@ def hac_ward_cut_10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.cut_to(C.hac(p, "ward"), p.select("id"), 10)
 
 
-@query()
+@query(f"SELECT n::BIGINT AS n_merges, round(weight, 6) AS cost FROM ({_prim(f'SELECT e.id, e.v, min({DIST}) AS core FROM {E} e JOIN {E} a ON a.id = e.id JOIN {E} b ON b.id <> e.id GROUP BY e.id, e.v', f'greatest({DIST}, a.core, b.core)')})")
 def hdbscan_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.cost(C.hdbscan_merges(points(spark, sf_dir), 2)).select("n_merges", F.round("cost", 6).alias("cost"))
 
@@ -207,7 +218,7 @@ def fcluster_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.fcluster(C.hac(p, "single"), p.select("id"), 0.8)
 
 
-@query()
+@query(f"SELECT n::BIGINT AS n_edges, round(weight, 6) AS weight FROM ({_prim(f'SELECT id, v FROM {SUP}', DIST)})")
 def mst_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = planar(spark, sf_dir)
     tree = C.mst(P.pair_distances(p).select(F.col("i").alias("u"), F.col("j").alias("v"), F.col("d").alias("w")), p)
@@ -341,7 +352,8 @@ def random_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.random_order(_events(spark, sf_dir), "event_id", 7).select("event_id", "pos")
 
 
-# Graphs: parts and suppliers of line items; parts are numbered after suppliers.
+# Graphs: an edge for each line item from its supplier's number to its part's. Both are vertices of one
+# numbering, so supplier 5 and part 5 are the same vertex.
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("u"), F.col("l_partkey").alias("v"))
@@ -362,7 +374,7 @@ def graph_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adj.select("u", "degree", F.aggregate("neighbours", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
 
 
-@query(f"SELECT r.range AS row, coalesce(sum(count(e.v)) OVER (ORDER BY r.range {_U} 1 PRECEDING), 0)::BIGINT AS start FROM range(3000) r LEFT JOIN ({SYM}) e ON e.u = r.range GROUP BY r.range")
+@query(f"SELECT r.range AS row, coalesce(sum(count(e.v)) OVER (ORDER BY r.range {_U} 1 PRECEDING), 0)::BIGINT AS start FROM (SELECT unnest(range(greatest(3000, (SELECT max(u) + 1 FROM ({SYM}))))) AS range) r LEFT JOIN ({SYM}) e ON e.u = r.range GROUP BY r.range")
 def csr_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = G.symmetric(_edges(spark, sf_dir))
     # A row for each vertex of the data, and for the SQL's ids.
