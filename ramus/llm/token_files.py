@@ -45,7 +45,7 @@ from ramus.operators.storage import Tables, fresh_path
 MAGIC = b"RMTOK002"
 BLOCK_IDS = 4096
 #: Text in a shard; bytes of segments and their ids that a Python worker remembers; ids that a reader unpacks at once.
-SHARD_BYTES, CACHE_BYTES, READ_IDS = 32 << 20, 64 << 20, 1 << 20
+SHARD_BYTES, CACHE_BYTES, READ_IDS = 32 << 20, 256 << 20, 1 << 20
 
 
 def bits_for(vocabulary: int) -> int:
@@ -266,7 +266,7 @@ def encode(column: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.nda
 
 def _write(batches: Iterator[pa.RecordBatch], path: str, end_id: int, bits: int, where: str) -> Iterator[pa.RecordBatch]:
     writer = None
-    for batch in chunks(batches, limit=1 << 20):
+    for batch in chunks(batches):
         if writer is None:
             shard = TaskContext.get().partitionId()
             name = f"{shard:09d}-{uuid.uuid4().hex}.tok"
