@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,8 +90,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int = BOUND) -> Latent:
     sample = training_texts(docs, labels, label, bound)
-    rows = sample.mapInArrow(_features, f"_id {dict(sample.dtypes)['_id']}, label int, slots array<bigint>, weights array<double>").toPandas().sort_values("_id", kind="stable")
-    return fit(list(zip(rows["slots"], rows["weights"])), rows["label"].to_numpy(float))
+    rows = sample.mapInArrow(_features, f"_id {dict(sample.dtypes)['_id']}, label int, slots array<bigint>, weights array<double>").toArrow().sort_by("_id")
+    flat = lambda c: pc.list_flatten(rows[c].combine_chunks()).to_numpy(zero_copy_only=False)
+    cuts = np.cumsum(pc.list_value_length(rows["slots"]).to_numpy())[:-1] if len(rows) else []
+    return fit(list(zip(np.split(flat("slots"), cuts), np.split(flat("weights"), cuts))) if len(rows) else [], rows["label"].to_numpy().astype(float))
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Latent) -> Iterator[pa.RecordBatch]:

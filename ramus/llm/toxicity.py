@@ -19,11 +19,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ramus.llm.arrowtext import LOWER_ALNUM, Words, binary_array, chunks, flat, hashes, mix
 from ramus.llm.labelled import training_texts
+from ramus.operators.storage import Tables
 
 #: Labelled rows that the model is fitted on at most; texts of the sample that a word must be in.
 BOUND, MIN_TEXTS = 6000, 4
@@ -129,8 +131,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = BOUND) -> Ordinal:
     sample = training_texts(docs, labels, label, bound)
-    rows = sample.mapInArrow(_features, f"_id {dict(sample.dtypes)['_id']}, label int, size long, words array<bigint>, counts array<bigint>").checkpoint()
-    texts = rows.select("_id", "label", "size").toPandas().sort_values("_id", kind="stable")
+    rows = sample.mapInArrow(_features, f"_id {dict(sample.dtypes)['_id']}, label int, size long, words array<bigint>, counts array<bigint>")
+    rows = Tables(docs.sparkSession, "toxicity").put("features", rows)
+    # By Arrow: a few arrays and no Python object for each row.
+    texts = rows.select("_id", "label", "size").toArrow().sort_by("_id")
     toxic = (texts["label"].to_numpy() > 0).astype(float)
     if not len(texts) or not toxic.any() or toxic.all():
         return fit(np.zeros(len(texts) + 1, np.int64), np.empty(0, np.uint64), np.empty(0), texts["size"].to_numpy(), toxic)
@@ -138,9 +142,11 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int =
     each = rows.select("_id", (F.col("label") > 0).cast("int").alias("bad"), F.explode(F.arrays_zip("words", "counts")).alias("f")).select("_id", "bad", "f.words", "f.counts")
     total = each.groupBy("words").agg(F.sum("bad").alias("b"), F.sum(1 - F.col("bad")).alias("g")).filter(F.col("b") + F.col("g") >= MIN_TEXTS)
     lean = F.log((F.col("b") + 0.5) / (toxic.sum() + 1)) - F.log((F.col("g") + 0.5) / ((1 - toxic).sum() + 1))
-    used = each.join(total.filter(F.abs(lean) >= LEAN).select("words"), "words").select("_id", "words", "counts").toPandas().sort_values(["_id", "words"], kind="stable")
-    bounds = np.searchsorted(used["_id"].to_numpy(), texts["_id"].to_numpy())
-    return fit(np.append(bounds, len(used)), used["words"].to_numpy(np.int64).view(np.uint64), used["counts"].to_numpy(float), texts["size"].to_numpy(), toxic)
+    used = each.join(total.filter(F.abs(lean) >= LEAN).select("words"), "words").select("_id", "words", F.col("counts").cast("float").alias("counts")).toArrow()
+    of = pc.index_in(used["_id"], texts["_id"]).to_numpy()
+    order = np.lexsort((used["words"].to_numpy(), of))
+    bounds = np.searchsorted(of[order], np.arange(len(texts) + 1))
+    return fit(bounds, used["words"].to_numpy()[order].view(np.uint64), used["counts"].to_numpy()[order].astype(float), texts["size"].to_numpy(), toxic)
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Ordinal) -> Iterator[pa.RecordBatch]:
