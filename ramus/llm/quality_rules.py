@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ramus.llm.shared import once
+from ramus.operators.storage import Tables
 
 K = 4096
 #: Fixed base rules.
@@ -69,6 +70,8 @@ def fences(measured: DataFrame, fence: float = 3.0, group: tuple[str, str] = ("_
     """For each (language, source): {measure}_hi and {measure}_lo. measured: group columns and measures of texts that pass the base rules."""
     lang, source = group
     own = measured.groupBy(lang, source).agg(F.count("*").alias("_n"), *(F.kll_sketch_agg_double(m, F.lit(K)).alias(m) for m in MEASURES))
+    # A row for each group, read three times below; the texts are measured once for them.
+    own = Tables(measured.sparkSession, "sketches").put("own", own)
     by_lang = own.groupBy(lang).agg(F.sum("_n").alias("_ln"), *(F.kll_merge_agg_double(m).alias(f"_l_{m}") for m in MEASURES))
     every = own.agg(*(F.kll_merge_agg_double(m).alias(f"_a_{m}") for m in MEASURES))
     # As many rows as there are groups; one row of all.
@@ -91,7 +94,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     source is a group of its own. Repeated rows count each; the sketches are of the
     texts that pass the base rules. An empty table gives no rows. Where ``keep`` has
     the text, texts are measured twice, for the sketches and for the verdict, so that
-    no text is moved or stored; else the measures are checkpointed in between.
+    no text is moved or stored; else the measures are written to a table in between.
     """
     keep = docs.columns if keep is None else keep
     group = [docs[lang_col].alias("_lang"), docs[source_col].alias("_source")]
@@ -100,8 +103,8 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     if text_col in keep:
         slim = _with_verdict_inputs(text_measures(docs.select(*group, docs[text_col].alias("_text")), "_text", ["_lang", "_source"]))
     else:
-        measured = slim = measured.checkpoint()
-    limits = fences(slim.filter(~F.col("base_failed")), fence).checkpoint()
+        measured = slim = Tables(docs.sparkSession, "measures").put("measures", measured)
+    limits = Tables(docs.sparkSession, "fences").put("fences", fences(slim.filter(~F.col("base_failed")), fence))
     return judge(measured, limits).select("rec", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
