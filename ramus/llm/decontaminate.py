@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ramus.llm.shared import once
+from ramus.operators.storage import Tables
 
 BROADCAST_ROWS = 200_000
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -56,7 +57,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     their text, so repeated rows all get their results. Empty tables of documents
     give no rows, of items no hits. Columns may have any names.
     """
-    windows = item_windows(items.select(F.coalesce(items[item_id].cast("string"), F.lit("")).alias("_i"), items[item_text].alias("_t")), "_i", "_t", size).checkpoint()
+    windows = item_windows(items.select(F.coalesce(items[item_id].cast("string"), F.lit("")).alias("_i"), items[item_text].alias("_t")), "_i", "_t", size)
+    store = Tables(docs.sparkSession, "decontaminate")
+    windows = store.put("windows", windows)
     n_windows = windows.count()
     text = F.coalesce(docs[text_col], F.lit(""))
     keep = docs.columns if keep is None else keep
@@ -68,11 +71,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     # The outer form, as Spark gives the inner one a filter that splits every text again; words aren't null.
     tokens = split.select("uid", "sum", "n", F.posexplode_outer("_w").alias("pos", "raw")).filter("raw IS NOT NULL").select("uid", "sum", "n", "pos", fold(F.col("raw")).alias("word"))
     vocabulary = windows.select(F.explode("words").alias("word")).distinct()
-    counts = tokens.select("word").join(_small(vocabulary, n_windows * size), "word", "left_semi").groupBy("word").count()
+    # A vocabulary too large to broadcast meets the words' counts, not each of the documents' words.
+    many = n_windows * size > BROADCAST_ROWS
+    counts = tokens.groupBy("word").count().join(vocabulary, "word", "left_semi") if many else tokens.select("word").join(F.broadcast(vocabulary), "word", "left_semi").groupBy("word").count()
     # The rarest word of each window; ties by the word, then by its first place.
     ranked = windows.select("words", "items", F.posexplode("words").alias("at", "word")).join(counts, "word", "left")
     rarest = ranked.groupBy("words").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "word", "at")).alias("r"), F.first("items").alias("items"))
-    prefix = rarest.filter("r.count > 0").select("r.word", "r.at", "words", "items").checkpoint()
+    prefix = store.put("prefix", rarest.filter("r.count > 0").select("r.word", "r.at", "words", "items"))
     room = (F.col("pos") >= F.col("at")) & (F.col("pos") - F.col("at") + F.size("words") <= F.col("n"))
     near = tokens.join(_small(prefix, n_windows), "word").filter(room)
     candidate = F.struct((F.col("pos") - F.col("at")).alias("start"), "words", "items")
