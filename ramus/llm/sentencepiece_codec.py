@@ -6,7 +6,8 @@ a marker after another character, so no piece crosses from a word to a marker, a
 the best segmentation of a text is that of its (markers, word) segments one after
 the other. The distinct segments of a chunk are segmented together: numpy walks the
 double array from all their bytes at once, then the Viterbi step runs over all
-segments, one byte at a time.
+segments, one byte at a time. A segment of over LONG bytes (text without spaces) is
+walked by itself in windows, in time and memory linear in its length.
 
 Characters that no piece covers become their byte pieces (byte fallback).
 """
@@ -27,8 +28,8 @@ from ramus.llm.token_files import crc32
 MARKER = "▁".encode()
 #: Below the least score of a piece, for a character that has none.
 UNKNOWN_PENALTY = 10.0
-#: A segment longer than this is done by itself; shorter ones are padded to their length class.
-CLASS_STEP = 8
+#: Segments are padded to a multiple of CLASS_STEP bytes; those over LONG bytes are done one by one, WINDOW bytes at a time.
+CLASS_STEP, LONG, WINDOW = 8, 512, 1 << 16
 
 
 class DoubleArray:
@@ -131,13 +132,18 @@ def viterbi(model: Model, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndar
     n = len(length)
     counts = np.zeros(n, np.int64)
     parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # string, place from its end, id
-    klass = -(-length // CLASS_STEP)
+    klass = np.where(length > LONG, 0, -(-length // CLASS_STEP))
+    for i in np.flatnonzero(length > LONG).tolist():
+        ids = viterbi_long(model, raw[offsets[i] : offsets[i + 1]])
+        counts[i] = len(ids)
+        parts.append((np.full(len(ids), i), np.arange(len(ids))[::-1], ids))
     order = np.argsort(klass, kind="stable")
     bounds = np.flatnonzero(np.diff(klass[order], prepend=-1))
     for a, b in zip(bounds.tolist(), [*bounds[1:].tolist(), n]):
-        most = int(length[order[a:b]].max(initial=0))
+        most = int(klass[order[a]]) * CLASS_STEP
         if not most:
             continue
+        most = int(length[order[a:b]].max())
         # Cells of the tables at once: about 4 million.
         for lo in range(a, b, max(1, 4_000_000 // (most * min(most, model.trie.depth) + 1))):
             own = order[lo : min(b, lo + max(1, 4_000_000 // (most * min(most, model.trie.depth) + 1)))]
@@ -217,6 +223,54 @@ def _viterbi_class(model: Model, raw: np.ndarray, first: np.ndarray, length: np.
     return np.concatenate(strings), np.concatenate(places), np.concatenate(ids)
 
 
+def viterbi_long(model: Model, raw: np.ndarray) -> np.ndarray:
+    """Ids of one byte string, with the ties of :func:`viterbi`: pieces are relaxed from each place where a character begins."""
+    n, depth = len(raw), model.trie.depth
+    score = model.scores[model.ordinary].tolist()
+    best, back, chosen = [-np.inf] * (n + 1), np.zeros(n + 1, np.int32), np.full(n + 1, -1, np.int32)
+    best[0] = 0.0
+    for low in range(0, n, WINDOW):
+        starts = low + np.flatnonzero((raw[low : low + WINDOW] & 0xC0) != 0x80)
+        lead = raw[starts]
+        width = np.where(lead < 0x80, 1, np.where(lead >= 0xF0, 4, np.where(lead >= 0xE0, 3, 2)))
+        # Start, length and piece of every match, in order of start and length.
+        alive, state, found = np.arange(len(starts)), np.zeros(len(starts), np.int64), []
+        for l in range(depth):
+            inside = starts[alive] + l < n
+            alive, state = alive[inside], state[inside]
+            state, there = model.trie.step(state, raw[starts[alive] + l].astype(np.int64))
+            alive, state = alive[there], state[there]
+            if not len(alive):
+                break
+            piece = model.trie.value[state]
+            some = piece >= 0
+            found.append((alive[some], np.full(int(some.sum()), l + 1), piece[some]))
+        which, size, piece = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 3
+        by = np.lexsort((size, which))
+        bounds = np.searchsorted(which[by], np.arange(len(starts) + 1)).tolist()
+        sizes, pieces = size[by].tolist(), piece[by].tolist()
+        for i, (t, w) in enumerate(zip(starts.tolist(), width.tolist())):
+            here, own = best[t], False
+            for m in range(bounds[i], bounds[i + 1]):
+                to, p = t + sizes[m], pieces[m]
+                own = own or sizes[m] == w
+                value = here + score[p]
+                # Longer last pieces come first, as their starts do.
+                if value > best[to] or value == best[to] and chosen[to] < 0:
+                    best[to], back[to], chosen[to] = value, sizes[m], p
+            if not own and t + w <= n and here + model.floor > best[t + w]:
+                best[t + w], back[t + w], chosen[t + w] = here + model.floor, w, -1
+    out, at = [], n
+    while at > 0:
+        step = max(1, int(back[at]))
+        if chosen[at] >= 0:
+            out.append(int(model.ordinary[chosen[at]]))
+        else:
+            out.extend(int(model.byte_id[b]) for b in raw[at - step : at][::-1])
+        at -= step
+    return np.array(out[::-1], np.int32)
+
+
 def marked(column: pa.Array, add_marker: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of the texts with each space a marker, and one before each text that isn't empty."""
     raw, offsets = flat(column)

@@ -16,7 +16,7 @@ from ramus.llm.lm_score import Ngram, lm_score
 from ramus.llm.near_dedup import band_distance, close, full_distance, near_dedup, order_min_hash
 from ramus.llm.quality_knn import quality_knn
 from ramus.llm.quality_rules import quality_rules
-from ramus.llm.sentencepiece_codec import encode, load, sentencepiece_codec
+from ramus.llm.sentencepiece_codec import encode, load, sentencepiece_codec, viterbi, viterbi_long
 from ramus.llm.substring_dedup import substring_dedup
 from ramus.llm.token_files import Shard, pack, shard_bytes, token_output, unpack
 from ramus.llm.toxicity import toxicity
@@ -184,6 +184,48 @@ def test_sentencepiece(docs, rows, empty):
         assert abs(sum(model.scores[i] for i in ids) - best(("▁" + word).encode())) < 1e-6
 
 
+def test_sentencepiece_of_long_texts_without_spaces(spark):
+    import time
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model, r = load(path), random.Random(8)
+    score = {p: s for p, s, k in zip(model.pieces, model.scores, model.kinds) if k == 0}
+
+    def best(text):
+        x, table = text.encode(), [0.0]
+        for t in range(1, len(x) + 1):
+            table.append(-np.inf)
+            for n in range(1, min(t, model.trie.depth) + 1):
+                table[t] = max(table[t], table[t - n] + score.get(x[t - n : t], -np.inf))
+            for w in range(1, min(4, t) + 1):
+                own = x[t - w : t]
+                if (own[0] & 0xC0) != 0x80 and len(own.decode("utf-8", "ignore")) == 1 and len(own.decode("utf-8", "ignore").encode()) == w and own not in score:
+                    table[t] = max(table[t], table[t - w] + model.floor)
+        return table[-1]
+
+    def scored(ids):
+        total, run = 0.0, 0
+        data = b""
+        for i in [*ids, -1]:
+            if i >= 0 and model.kinds[i] == 1:
+                data += bytes([int(model.pieces[i][3:5], 16)])
+                continue
+            total += len(data.decode()) * model.floor
+            data = b""
+            total += model.scores[i] if i >= 0 else 0.0
+        return total
+
+    parts = ["the", "ing", "zz", "é", "中", "\u2603", "\U0001f600", "\x01", "9", "=", "AbC"]
+    for _ in range(30):
+        text = "".join(r.choice(parts) for _ in range(r.randint(1, 60)))
+        long, short = viterbi_long(model, np.frombuffer(text.encode(), np.uint8)), viterbi(model, np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))[0]
+        assert long.tolist() == short.tolist() and scored(long) == pytest.approx(best(text))
+    blob = "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123456789+/") for _ in range(1_000_000))
+    began = time.time()
+    row = sentencepiece_codec(spark.createDataFrame([(1, blob + "\u2603")], "doc_id long, text string"), path).first()
+    assert row.round_trip and row.decoded == blob + "\u2603" and time.time() - began < 60
+
+
 def test_lm_score(spark, docs, rows, empty):
     labels = spark.createDataFrame([(9, 1), (18, 1), (21, 0), (None, 1), (9, 0)], "doc_id long, quality int")
     got = lm_score(docs, labels).collect()
