@@ -10,7 +10,8 @@ sorting counts them exactly, on the words themselves.
 Skew: a task drops a super-k-mer of a later document when it has seen the same
 string in an earlier one (its verdict is known without the bucket), so a passage
 that a third of all documents hold sends one string for each chunk of input, not
-one for each document. Only intervals of word places return to the documents.
+one for each document. Only intervals of word places return to the documents. A frequent
+minimiser draws the windows around it to one bucket; three words are seldom frequent.
 """
 
 from __future__ import annotations
@@ -146,7 +147,7 @@ def _in_buckets(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.R
         yield out(repeated(parts, window))
 
 
-def repeated_spans(docs: DataFrame, window: int = 13, minimiser: int = 2) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = 13, minimiser: int = 3) -> DataFrame:
     """Word intervals to remove: key, uid, first, end. docs: key, uid, text (see :func:`_keyed`)."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(64, 3 * size // BUCKET_BYTES)
@@ -180,7 +181,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ], ["rec", "n_words", "n_removed", "kept", "cleaned", "kept_sha256"])
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, minimiser: int = 2, keep: list[str] | None = None) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, minimiser: int = 3, keep: list[str] | None = None) -> DataFrame:
     """One row per input row: rec (struct of ``keep``, by default all columns but the text), n_words, n_removed, kept (the
     kept words joined by one space), cleaned (the text itself where nothing is removed,
     else kept), kept_sha256.
