@@ -64,6 +64,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in order, each written and read back. Nulls, repeated rows and empty tables are as the operators'
+    docstrings say: a null or empty text fails the quality rules; an empty table gives no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = fresh_path(spark, f"stage-{name}")
