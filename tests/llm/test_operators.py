@@ -10,9 +10,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from ramus.llm.arrowtext import hashes
 from ramus.llm.decontaminate import decontaminate
 from ramus.llm.license_scan import license_scan
-from ramus.llm.lm_score import Ngram, lm_score
+from ramus.llm.lm_score import MU, Block, lm_score
 from ramus.llm.near_dedup import band_distance, close, full_distance, near_dedup, order_min_hash
 from ramus.llm.quality_knn import quality_knn
 from ramus.llm.quality_rules import quality_rules
@@ -226,17 +227,76 @@ def test_sentencepiece_of_long_texts_without_spaces(spark):
     assert row.round_trip and row.decoded == blob + "\u2603" and time.time() - began < 60
 
 
+def losses_by_hand(rows, marked, mu=MU):
+    """Both models' mean losses of each row's words and its end, the row left out, with counters."""
+    told = [SPACE.findall(r[1] or "") for r in rows]
+    seqs = [[None, *w, None] if w else [] for w in told]
+    word, pair = Counter(), Counter()
+    for s in seqs:
+        word.update(s[1:])
+    kinds = len(word)
+    found = []
+    for own, row in zip(seqs, rows):
+        means = []
+        for model in (lambda r: r[0] in marked, lambda r: True):
+            word, pair = Counter(), Counter()
+            for s, r in zip(seqs, rows):
+                if r is not row and model(r):
+                    word.update(s[1:])
+                    pair.update(zip(s, s[1:]))
+            total = sum(word.values())
+            p = [(pair[v, w] + mu * (word[w] + 1) / (total + kinds)) / (word[v] + mu) for v, w in zip(own, own[1:])]
+            means.append(-sum(np.log(p)) / max(len(p), 1))
+        found.append((row[0], max(len(own) - 1, 0), *means))
+    return found
+
+
 def test_lm_score(spark, docs, rows, empty):
-    labels = spark.createDataFrame([(9, 1), (18, 1), (21, 0), (None, 1), (9, 0)], "doc_id long, quality int")
-    got = lm_score(docs, labels).collect()
-    assert len(got) == len(rows)
-    for r in got:
-        assert r.score == pytest.approx(r.target_loss - r.background_loss)
-    assert all(r.score == 0 and r.n_tokens == 0 for r in got if not r.n_tokens)
+    rows = [tuple(r) for r in rows]
+    labels = spark.createDataFrame([(9, 1), (18, 1), (15, 1), (21, 0), (None, 1), (9, 0), (777, 1)], "doc_id long, quality int")
+    got = lm_score(docs, labels).select("rec.doc_id", "n_tokens", "target_loss", "background_loss", "score").collect()
+    want = losses_by_hand([list(r) for r in rows], {9, 18, 15})
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
+    assert len(got) == len(want)
+    for g, w in zip(sorted(got, key=key), sorted(want, key=key)):
+        assert (g.doc_id, g.n_tokens) == w[:2]
+        assert (g.target_loss, g.background_loss, g.score) == pytest.approx((w[2], w[3], w[2] - w[3]))
+    assert all(r.score == 0 for r in got if not r.n_tokens)
     assert lm_score(empty, labels).count() == 0 and lm_score(docs, labels.limit(0)).count() == len(rows)
-    model = Ngram(np.array([0x61, 0x6162, 0x616263]), np.array([3, 2, 1]))
-    for context in (0, 0x6162, 0x7878):
-        assert np.exp(model.log_p((context << 8) | np.arange(256))).sum() == pytest.approx(1)
+    whole = lm_score(docs.withColumnRenamed("lang", "block").withColumnRenamed("key", "ids"), labels, keep=["block", "ids", "doc_id"])
+    assert whole.count() == len(rows) and whole.select("rec.*").columns == ["block", "ids", "doc_id"]
+
+
+def test_lm_score_sums_over_blocks(spark):
+    """Many blocks and one long text against counters; a document that occurs twice has less loss than alone."""
+    r = random.Random(8)
+    prose = lambda n: " ".join(f"w{int(r.paretovariate(0.7)) % 5000}" for _ in range(n))
+    rows = [(i, prose(r.randint(20, 200))) for i in range(60)] + [(60, prose(20_000))]
+    rows += [(61, rows[3][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, quality int")
+    got = {x.doc_id: x for x in lm_score(docs, labels).select("rec.doc_id", "n_tokens", "target_loss", "background_loss").collect()}
+    for i, n, target, background in losses_by_hand([list(x) for x in rows], set(range(0, 60, 3))):
+        assert got[i].n_tokens == n and (got[i].target_loss, got[i].background_loss) == pytest.approx((target, background))
+    alone = {x.doc_id: x for x in lm_score(docs.filter("doc_id < 61"), labels, mu=MU).select("rec.doc_id", "background_loss").collect()}
+    assert got[3].background_loss < alone[3].background_loss
+
+
+def test_lm_score_is_a_distribution():
+    """The model's probabilities of all words after a word sum to 1."""
+    words = hashes(pa.array([b"a", b"b", b"c"], pa.large_binary()))
+    learned = Block(words, np.array([0, 1, 2, 1, 0, 0]), np.array([4, 0, 2]))
+    count, total = learned.counted(), int(learned.size.sum())
+    for context in range(3):
+        mass = 0.0
+        for word in (0, 1, 2, None):
+            asked = Block(words, np.array([context] + ([] if word is None else [word])), np.array([1 if word is None else 2]))
+            n = np.array([dict(zip(learned.grams.tolist(), count.tolist())).get(g, 0) for g in asked.grams.tolist()])
+            p = (n[asked.one] + 1) / (total + 4)
+            mass += ((n[asked.two] + 10 * p) / (n[asked.one][asked.previous] + 10))[1]
+            loss = asked.losses(n, total, 4, np.zeros(1, bool), asked.own(), 10.0)[0]
+            assert loss == pytest.approx(-np.log((n[asked.two] + 10 * p) / (n[asked.one][asked.previous] + 10)).mean())
+        assert mass == pytest.approx(1)
 
 
 def distance(a, b):
