@@ -28,10 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ramus.llm.arrowtext import Words, chunks, hashes, ints, mix, sliding_min, spaced
+from ramus.operators import storage
 
 LAST = (1 << 63) - 1
 #: Text in a task's chunk, and packed super-k-mers aimed at in one bucket.
 MAP_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20
+#: Share of all windows from which a gram counts as frequent; at most 2 / SHARE grams do.
+SHARE = 2e-5
+NONE = np.empty(0, np.uint64)
 
 
 def _pack(arrays: list[np.ndarray], tail: bytes = b"") -> bytes:
@@ -48,8 +52,8 @@ def _unpack(data: bytes, count: int) -> tuple[list[np.ndarray], bytes]:
     return [np.ascontiguousarray(p.T).view("<i8").reshape(n) for p in planes], data[8 + 8 * n * count :]
 
 
-def super_kmers(words: Words, window: int, minimiser: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word, number of words and minimiser hash of each super-k-mer."""
+def super_kmers(words: Words, window: int, minimiser: int, frequent: np.ndarray = NONE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, number of words and minimiser of each super-k-mer: 63 bits of a hash, and the highest bit for ``frequent`` (sorted) ones."""
     n = len(words)
     if n < window:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
@@ -57,9 +61,19 @@ def super_kmers(words: Words, window: int, minimiser: int) -> tuple[np.ndarray,
     gram = word[: n - minimiser + 1].copy()
     for i in range(1, minimiser):
         gram = mix(gram * np.uint64(0x9E3779B97F4A7C15) + word[i : n - minimiser + 1 + i])
+    gram >>= np.uint64(1)
+    if len(frequent):
+        gram[frequent[np.minimum(np.searchsorted(frequent, gram), len(frequent) - 1)] == gram] |= np.uint64(1 << 63)
     least = sliding_min(gram, window - minimiser + 1)
     text = words.text_of
     whole = text[: n - window + 1] == text[window - 1 :]
+    # Windows of frequent grams only go by a hash of all their words.
+    at = np.flatnonzero(whole & (least >> np.uint64(63) == 1))
+    if len(at):
+        every = word[at]
+        for i in range(1, window):
+            every = mix(every * np.uint64(0x9E3779B97F4A7C15) + word[at + i])
+        least[at] = every | np.uint64(1 << 63)
     new = np.ones(len(least), bool)
     new[1:] = (least[1:] != least[:-1]) | (text[1 : n - window + 1] != text[: n - window])
     first = np.flatnonzero(new & whole)
@@ -67,10 +81,39 @@ def super_kmers(words: Words, window: int, minimiser: int) -> tuple[np.ndarray,
     return first, np.bincount(group, minlength=len(first)) + window - 1, least[first]
 
 
-def _to_buckets(batches: Iterator[pa.RecordBatch], window: int, minimiser: int, buckets: int) -> Iterator[pa.RecordBatch]:
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    gram, of = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return gram, np.bincount(of, np.concatenate([p[1] for p in parts]), len(gram)).astype(np.int64)
+
+
+def _drawn(batches: Iterator[pa.RecordBatch], window: int, minimiser: int, share: float) -> Iterator[pa.RecordBatch]:
+    """Windows that a task's more frequent grams draw, and (gram -1) all of its windows."""
+    parts = [(NONE, np.empty(0, np.int64))]
+    for batch in chunks(batches, limit=MAP_BYTES):
+        _, length, least = super_kmers(Words(batch.column("text")), window, minimiser)
+        parts.append((least, length - window + 1))
+        if len(parts) > 16:
+            parts = [_summed(parts)]
+    gram, n = _summed(parts)
+    often = n >= share / 2 * n.sum()
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(gram[often].astype(np.int64), -1)), pa.array(np.append(n[often], n.sum()))], ["gram", "n"])
+
+
+def frequent_grams(docs: DataFrame, window: int, minimiser: int, share: float) -> np.ndarray:
+    """Grams that draw ``share`` of all windows or more, and some that draw over half of it. docs: text."""
+    drawn = docs.select("text").mapInArrow(lambda b: _drawn(b, window, minimiser, share), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    drawn = storage.cut(drawn, "drawn")
+    total = F.max(F.when(F.col("gram") == -1, F.col("n")))
+    least = share / 2 * (drawn.agg(total).first()[0] or 0)
+    # All windows are counted once, so at most 2 / share grams come to the driver.
+    found = drawn.filter((F.col("gram") >= 0) & (F.col("n") >= least)).select("gram").toPandas()["gram"]
+    return np.sort(found.to_numpy(np.int64).astype(np.uint64))
+
+
+def _to_buckets(batches: Iterator[pa.RecordBatch], window: int, minimiser: int, buckets: int, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches, limit=MAP_BYTES):
         words = Words(batch.column("text"))
-        first, length, least = super_kmers(words, window, minimiser)
+        first, length, least = super_kmers(words, window, minimiser, frequent)
         if not len(first):
             continue
         text = np.searchsorted(words.per_text, first, side="right") - 1
@@ -147,11 +190,12 @@ def _in_buckets(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.R
         yield out(repeated(parts, window))
 
 
-def repeated_spans(docs: DataFrame, window: int = 13, minimiser: int = 3) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = 13, minimiser: int = 3, share: float = SHARE) -> DataFrame:
     """Word intervals to remove: key, uid, first, end. docs: key, uid, text (see :func:`_keyed`)."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(64, 3 * size // BUCKET_BYTES)
-    packed = docs.select("key", "uid", "text").mapInArrow(lambda b: _to_buckets(b, window, minimiser, buckets), "bucket long, data binary")
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_grams(docs, window, minimiser, share))
+    packed = docs.select("key", "uid", "text").mapInArrow(lambda b: _to_buckets(b, window, minimiser, buckets, frequent.value), "bucket long, data binary")
     return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: _in_buckets(b, window), "key long, uid long, first long, end long")
 
 
@@ -181,7 +225,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ], ["rec", "n_words", "n_removed", "kept", "cleaned", "kept_sha256"])
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, minimiser: int = 3, keep: list[str] | None = None) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, minimiser: int = 3, keep: list[str] | None = None, share: float = SHARE) -> DataFrame:
     """One row per input row: rec (struct of ``keep``, by default all columns but the text), n_words, n_removed, kept (the
     kept words joined by one space), cleaned (the text itself where nothing is removed,
     else kept), kept_sha256.
@@ -194,7 +238,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by their id and 32 bits of a hash of id and text.
     """
     keyed = _keyed(docs, id_col, text_col, [c for c in docs.columns if c != text_col] if keep is None else keep)
-    spans = repeated_spans(keyed, window, minimiser).groupBy("key", "uid").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
+    spans = repeated_spans(keyed, window, minimiser, share).groupBy("key", "uid").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
     joined = keyed.join(spans.hint("shuffle_hash"), ["key", "uid"], "left").select("rec", "text", F.coalesce("spans", F.array().cast("array<struct<first:long,end:long>>")).alias("spans"))
     schema = f"rec {keyed.schema['rec'].dataType.simpleString()}, n_words long, n_removed long, kept string, cleaned string, kept_sha256 string"
     return joined.mapInArrow(_cut, schema)
