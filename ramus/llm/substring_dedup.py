@@ -10,8 +10,11 @@ sorting counts them exactly, on the words themselves.
 Skew: a task drops a super-k-mer of a later document when it has seen the same
 string in an earlier one (its verdict is known without the bucket), so a passage
 that a third of all documents hold sends one string for each chunk of input, not
-one for each document. Only intervals of word places return to the documents. A frequent
-minimiser draws the windows around it to one bucket; three words are seldom frequent.
+one for each document. Only intervals of word places return to the documents. Grams
+that would draw more than ``SHARE`` of all windows come last in the order of minimisers,
+so that rarer grams deal their windows to other buckets; a window of frequent grams
+alone goes by a hash of all its words. Grams are counted over all texts, in slots by a
+part of their hash.
 """
 
 from __future__ import annotations
@@ -28,14 +31,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ramus.llm.arrowtext import Words, chunks, hashes, ints, mix, sliding_min, spaced
-from ramus.operators import storage
 
 LAST = (1 << 63) - 1
 #: Text in a task's chunk, and packed super-k-mers aimed at in one bucket.
 MAP_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20
-#: Share of all windows from which a gram counts as frequent; at most 2 / SHARE grams do.
-SHARE = 2e-5
-NONE = np.empty(0, np.uint64)
+#: Grams are counted in slots by 16 bits of their hash; those of a slot with this share of all windows, some seven
+#: times a slot's mean, count as frequent.
+SLOTS, PARTS, SHARE = 1 << 16, 8, 1e-4
+
+
+def _slot(gram: np.ndarray) -> np.ndarray:
+    return (gram & np.uint64(SLOTS - 1)).astype(np.int64)
 
 
 def _pack(arrays: list[np.ndarray], tail: bytes = b"") -> bytes:
@@ -52,8 +58,8 @@ def _unpack(data: bytes, count: int) -> tuple[list[np.ndarray], bytes]:
     return [np.ascontiguousarray(p.T).view("<i8").reshape(n) for p in planes], data[8 + 8 * n * count :]
 
 
-def super_kmers(words: Words, window: int, minimiser: int, frequent: np.ndarray = NONE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word, number of words and minimiser of each super-k-mer: 63 bits of a hash, and the highest bit for ``frequent`` (sorted) ones."""
+def super_kmers(words: Words, window: int, minimiser: int, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, number of words and minimiser of each super-k-mer: 63 bits of a hash, and the highest bit for those in ``frequent`` slots."""
     n = len(words)
     if n < window:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
@@ -62,8 +68,8 @@ def super_kmers(words: Words, window: int, minimiser: int, frequent: np.ndarray
     for i in range(1, minimiser):
         gram = mix(gram * np.uint64(0x9E3779B97F4A7C15) + word[i : n - minimiser + 1 + i])
     gram >>= np.uint64(1)
-    if len(frequent):
-        gram[frequent[np.minimum(np.searchsorted(frequent, gram), len(frequent) - 1)] == gram] |= np.uint64(1 << 63)
+    if frequent is not None:
+        gram[frequent[_slot(gram)]] |= np.uint64(1 << 63)
     least = sliding_min(gram, window - minimiser + 1)
     text = words.text_of
     whole = text[: n - window + 1] == text[window - 1 :]
@@ -81,33 +87,31 @@ def super_kmers(words: Words, window: int, minimiser: int, frequent: np.ndarray
     return first, np.bincount(group, minlength=len(first)) + window - 1, least[first]
 
 
-def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    gram, of = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return gram, np.bincount(of, np.concatenate([p[1] for p in parts]), len(gram)).astype(np.int64)
-
-
-def _drawn(batches: Iterator[pa.RecordBatch], window: int, minimiser: int, share: float) -> Iterator[pa.RecordBatch]:
-    """Windows that a task's more frequent grams draw, and (gram -1) all of its windows."""
-    parts = [(NONE, np.empty(0, np.int64))]
+def _drawn(batches: Iterator[pa.RecordBatch], window: int, minimiser: int) -> Iterator[pa.RecordBatch]:
+    """Windows that the grams of each slot draw in a task's texts, in ``PARTS`` rows."""
+    n = np.zeros(SLOTS, np.int64)
     for batch in chunks(batches, limit=MAP_BYTES):
         _, length, least = super_kmers(Words(batch.column("text")), window, minimiser)
-        parts.append((least, length - window + 1))
-        if len(parts) > 16:
-            parts = [_summed(parts)]
-    gram, n = _summed(parts)
-    often = n >= share / 2 * n.sum()
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(gram[often].astype(np.int64), -1)), pa.array(np.append(n[often], n.sum()))], ["gram", "n"])
+        n += np.bincount(_slot(least), length - window + 1, SLOTS).astype(np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int64()), pa.array([x.tobytes() for x in n.reshape(PARTS, -1)], pa.binary())], ["part", "n"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, data in zip(batch.column("part").to_pylist(), batch.column("n").to_pylist()):
+            n[part] = n.get(part, 0) + np.frombuffer(data, np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int64()), pa.array([x.tobytes() for x in n.values()], pa.binary())], ["part", "n"])
 
 
-def frequent_grams(docs: DataFrame, window: int, minimiser: int, share: float) -> np.ndarray:
-    """Grams that draw ``share`` of all windows or more, and some that draw over half of it. docs: text."""
-    drawn = docs.select("text").mapInArrow(lambda b: _drawn(b, window, minimiser, share), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    drawn = storage.cut(drawn, "drawn")
-    total = F.max(F.when(F.col("gram") == -1, F.col("n")))
-    least = share / 2 * (drawn.agg(total).first()[0] or 0)
-    # All windows are counted once, so at most 2 / share grams come to the driver.
-    found = drawn.filter((F.col("gram") >= 0) & (F.col("n") >= least)).select("gram").toPandas()["gram"]
-    return np.sort(found.to_numpy(np.int64).astype(np.uint64))
+def frequent_slots(docs: DataFrame, window: int, minimiser: int, share: float) -> np.ndarray:
+    """Which slots of grams draw ``share`` of all windows or more. docs: text."""
+    drawn = docs.select("text").mapInArrow(lambda b: _drawn(b, window, minimiser), "part long, n binary")
+    n = np.zeros((PARTS, SLOTS // PARTS), np.int64)
+    # PARTS rows, whatever the corpus.
+    for row in drawn.repartition("part").mapInArrow(_added, "part long, n binary").collect():
+        n[row.part] = np.frombuffer(row.n, np.int64)
+    return (n.ravel() > 0) & (n.ravel() >= share * n.sum())
 
 
 def _to_buckets(batches: Iterator[pa.RecordBatch], window: int, minimiser: int, buckets: int, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -194,7 +198,7 @@ def repeated_spans(docs: DataFrame, window: int = 13, minimiser: int = 3, share:
     """Word intervals to remove: key, uid, first, end. docs: key, uid, text (see :func:`_keyed`)."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(64, 3 * size // BUCKET_BYTES)
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_grams(docs, window, minimiser, share))
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_slots(docs, window, minimiser, share))
     packed = docs.select("key", "uid", "text").mapInArrow(lambda b: _to_buckets(b, window, minimiser, buckets, frequent.value), "bucket long, data binary")
     return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: _in_buckets(b, window), "key long, uid long, first long, end long")
 

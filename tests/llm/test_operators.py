@@ -18,7 +18,7 @@ from ramus.llm.near_dedup import band_distance, close, full_distance, near_dedup
 from ramus.llm.quality_knn import quality_knn
 from ramus.llm.quality_rules import quality_rules
 from ramus.llm.sentencepiece_codec import encode, load, sentencepiece_codec, viterbi, viterbi_long
-from ramus.llm.substring_dedup import frequent_grams, substring_dedup, super_kmers
+from ramus.llm.substring_dedup import SLOTS, frequent_slots, substring_dedup, super_kmers
 from ramus.llm.token_files import Shard, pack, shard_bytes, token_output, unpack
 from ramus.llm.toxicity import toxicity
 
@@ -99,26 +99,26 @@ def test_frequent_grams(spark):
     phrases = ["of the land and", "in the name of all", "all rights of this", "as it is and was"]
     texts = [" ".join(f"{r.choice(phrases)} {r.random()}" for _ in range(40)) for _ in range(40)] + ["a " * 50, " ".join(phrases), " ".join(phrases)]
     docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
-    grams = frequent_grams(docs, 13, 3, 0.005)
-    assert 1 <= len(grams) <= 400
+    slots = frequent_slots(docs, 13, 3, 0.005)
+    assert 1 <= slots.sum() <= 200
     words = Words(pa.array(texts))
     drawn = [Counter(), Counter()]
-    for c, often in zip(drawn, (grams[:0], grams)):
+    for c, often in zip(drawn, (None, slots)):
         first, length, least = super_kmers(words, 13, 3, often)
         assert (length >= 13).all() and sum(length - 12) == sum(max(len(t.split()) - 12, 0) for t in texts)
         for k, n in zip(least.tolist(), (length - 12).tolist()):
             c[k] += n
     total = sum(drawn[0].values())
-    assert {k for k, n in drawn[0].items() if n >= 0.005 * total} <= set(grams.tolist())
+    assert all(slots[k % SLOTS] for k, n in drawn[0].items() if n >= 0.005 * total)
     assert max(drawn[1].values()) < max(drawn[0].values()) / 2
     # Equal windows keep equal minimisers.
     least = {}
-    first, length, found = super_kmers(words, 13, 3, grams)
+    first, length, found = super_kmers(words, 13, 3, slots)
     told = [w for t in texts for w in t.split()]
     for a, n, k in zip(first.tolist(), length.tolist(), found.tolist()):
         for i in range(a, a + n - 12):
             assert least.setdefault(tuple(told[i : i + 13]), k) == k
-    assert frequent_grams(docs.limit(0), 13, 3, 0.005).tolist() == []
+    assert not frequent_slots(docs.limit(0), 13, 3, 0.005).any()
 
 
 def test_token_files(spark, docs, rows, empty):
