@@ -104,11 +104,27 @@ def out_of_cube(p, center, half) -> Column:
     return F.exists(F.zip_with(_c(p), _c(center), lambda x, y: F.abs(x - y) > half), lambda x: x)
 
 
+def search_radius(method: str, r, n=None) -> Column:
+    """Radius around a centroid within which the centroid of any cluster at distance ``r`` lies; n: members, for ward."""
+    r = _c(r)
+    return ward_radius(r, _c(n)) if method == "ward" else F.sqrt(r) if method == "avgsq" else r
+
+
 def ward_radius(r, n) -> Column:
     """Centroid radius within which a cluster at Ward distance r from one of n members must lie."""
     return r * F.sqrt((n + 1) / (2.0 * n))
 
 
+def morton(v, lo: list[float], width: list[float], bits: int = 20) -> Column:
+    """Interleaved bits of the cells of the first len(lo) coordinates: cells of ``width`` from ``lo`` on, kept in 0 .. 2^bits - 1."""
+    v, out = _c(v), F.lit(0).cast("long")
+    for k, (a, w) in enumerate(zip(lo, width)):
+        cell = F.least(F.greatest(F.floor((v[k] - a) / w), F.lit(0)), F.lit((1 << bits) - 1)).cast("long")
+        for b in range(bits):
+            out = out.bitwiseOR(F.shiftleft(F.shiftright(cell, b).bitwiseAND(F.lit(1).cast("long")), b * len(lo) + k))
+    return out
+
+
 def condensed_index(i, j, n) -> Column:
     """Place of the pair i < j in a condensed distance matrix."""
     return (F.floor((2 * n - _c(i) - 3) * _c(i) / 2) + _c(j) - 1).cast("long")

@@ -3,7 +3,8 @@
 Work on all pairs is dealt by pairs of blocks: a point goes to as many tasks as there
 are blocks, and a task holds two blocks. So n points make n x blocks shuffled rows,
 not n^2, and tasks of equal size, and only the pairs that an operator wants leave
-them. Ball joins in few dimensions are equi-joins on grid cells.
+them. Nearest neighbours of many points meet only the blocks whose boxes lie near
+enough. Ball joins in few dimensions are equi-joins on grid cells.
 """
 
 from __future__ import annotations
@@ -17,8 +18,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ramus.functions import vectors as V
+from ramus.operators.sequences import with_rank
+from ramus.operators.storage import Tables
 
 BLOCK_ROWS = 1024
+#: From so many blocks on, nearest neighbours are looked for by boxes; below, all blocks meet. Results are the same.
+PRUNE_BLOCKS = 8
+#: Boxes in a box of the next level.
+FAN = 16
 
 
 def checked(points: DataFrame, id_col: str = "id", v_col: str = "v") -> DataFrame:
@@ -80,6 +87,8 @@ def knn(points: DataFrame, k: int, include_self: bool = False, group: str | None
 
     With ``core`` distances are mutual reachability: no smaller than either's core distance.
     """
+    if group is None and core is None and points.count() > PRUNE_BLOCKS * BLOCK_ROWS:
+        return knn_by_boxes(points, k, include_self)
 
     def kernel(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
         out = []
@@ -103,6 +112,88 @@ def knn(points: DataFrame, k: int, include_self: bool = False, group: str | None
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("id", F.col("rank").cast("long").alias("rank"), "nn", "d")
 
 
+_FOUND = "id long, nn long, d double"
+
+
+def _k_nearest(x: pd.DataFrame, y: pd.DataFrame, k: int, include_self: bool) -> pd.DataFrame:
+    """id, nn, d of the k nearest of y for each of x, ties by the smaller id."""
+    if not len(x) or not len(y):
+        return pd.DataFrame({"id": [], "nn": [], "d": []}).astype({"id": "int64", "nn": "int64", "d": "float64"})
+    y = y.sort_values("id")
+    d = np.sqrt(_distances(_vectors(x), _vectors(y)))
+    if not include_self:
+        d[x["id"].to_numpy()[:, None] == y["id"].to_numpy()[None, :]] = np.inf
+    near = np.argsort(d, axis=1, kind="stable")[:, :k]
+    best = np.take_along_axis(d, near, 1)
+    rows, columns = np.nonzero(np.isfinite(best))
+    return pd.DataFrame({"id": x["id"].to_numpy()[rows], "nn": y["id"].to_numpy()[near[rows, columns]], "d": best[rows, columns]})
+
+
+def near_boxes(boxes: DataFrame, n: int, store: Tables) -> DataFrame:
+    """x, y: boxes no farther apart than x's bound. boxes: b (0 .. n - 1), lo, hi, bound.
+
+    Neighbouring boxes are put into larger ones level by level; from the top, only the
+    insides of two boxes that are near enough meet on the next level.
+    """
+    dims = (boxes.select(F.size("lo")).first() or [0])[0]
+    levels = [boxes]
+    while n > 4 * FAN:
+        up = levels[-1].groupBy(F.floor(F.col("b") / FAN).alias("b")).agg(
+            F.array(*(F.min(F.col("lo")[k]) for k in range(dims))).alias("lo"), F.array(*(F.max(F.col("hi")[k]) for k in range(dims))).alias("hi"), F.max("bound").alias("bound")
+        )
+        levels.append(store.put(f"boxes{len(levels)}", up))
+        n = -(-n // FAN)
+    # A few boxes at the top: all of their pairs.
+    pairs = levels[-1].select(F.col("b").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(n - 1, 0)).cast("long"))).alias("y"))
+    for k, level in reversed(list(enumerate(levels))):
+        a = level.select(F.col("b").alias("x"), F.col("lo").alias("_xl"), F.col("hi").alias("_xh"), "bound")
+        c = level.select(F.col("b").alias("y"), F.col("lo").alias("_yl"), F.col("hi").alias("_yh"))
+        if k < len(levels) - 1:
+            a, c = a.withColumn("_px", F.floor(F.col("x") / FAN)), c.withColumn("_py", F.floor(F.col("y") / FAN))
+            met = pairs.withColumnsRenamed({"x": "_px", "y": "_py"}).join(a, "_px").join(c, "_py")
+        else:
+            met = pairs.join(a, "x").join(c, "y")
+        pairs = store.put(f"near{k}", met.filter(V.box_box_distance("_xl", "_xh", "_yl", "_yh") <= F.col("bound")).select("x", "y"))
+    return pairs
+
+
+def knn_by_boxes(points: DataFrame, k: int, include_self: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """As knn, for many points: blocks along a Morton curve, which meet only where their boxes are near enough.
+
+    A point's k nearest in its own block bound how far its true ones can lie, so each point
+    goes only to the blocks whose boxes are within its bound. In many dimensions boxes prune
+    little, and blocks full of copies of one point all meet each other.
+    """
+    store = Tables(points.sparkSession, "knn")
+    dims = (points.select(F.size("v")).first() or [0])[0]
+    along = min(dims, 3)
+    span = points.agg(*(f(F.col("v")[j]) for j in range(along) for f in (F.min, F.max))).first()
+    lo = [span[2 * j] or 0.0 for j in range(along)]
+    width = [max((span[2 * j + 1] or 0.0) - lo[j], 1e-300) / (1 << 16) for j in range(along)]
+    dealt = with_rank(points.select("id", "v", V.morton("v", lo, width, 17).alias("_m")), ["_m", "id"], "_pos")
+    dealt = store.put("points", dealt.select("id", "v", F.floor(F.col("_pos") / block_rows).alias("b")))
+    own = store.put("own", dealt.groupBy("b").applyInPandas(lambda pdf: _k_nearest(pdf, pdf, k, include_self), _FOUND))
+    worst = own.groupBy("id").agg(F.max("d").alias("_w"), F.count("*").alias("_n"))
+    # A little more than the distance, as boxes' distances are rounded in another way.
+    bound = F.when(F.col("_n") == k, F.col("_w") * (1 + 1e-9) + 1e-300).otherwise(float("inf"))
+    known = store.put("known", dealt.join(worst, "id", "left").select("id", "v", "b", F.coalesce(bound, F.lit(float("inf"))).alias("bound")))
+    boxes = store.put("boxes", known.groupBy("b").agg(
+        F.array(*(F.min(F.col("v")[j]) for j in range(dims))).alias("lo"), F.array(*(F.max(F.col("v")[j]) for j in range(dims))).alias("hi"), F.max("bound").alias("bound")
+    ))
+    pairs = near_boxes(boxes, boxes.count(), store).filter("x <> y")
+    far = pairs.join(boxes.select(F.col("b").alias("y"), "lo", "hi"), "y").withColumnRenamed("x", "b")
+    asks = known.join(far, "b").filter(V.point_box_distance("v", "lo", "hi") <= F.col("bound")).select(F.col("b").alias("x"), "y", F.lit(True).alias("asks"), "id", "v")
+    asks = store.put("asks", asks)
+    answers = asks.select("x", "y").distinct().withColumnRenamed("y", "b").join(dealt, "b").select("x", F.col("b").alias("y"), F.lit(False).alias("asks"), "id", "v")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _k_nearest(pdf[pdf["asks"]], pdf[~pdf["asks"]], k, include_self)
+
+    found = own.union(asks.union(answers).groupBy("x", "y").applyInPandas(run, _FOUND))
+    rank = F.row_number().over(W.partitionBy("id").orderBy("d", "nn"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("id", F.col("rank").cast("long").alias("rank"), "nn", "d")
+
+
 def nearest_clusters(clusters: DataFrame, method: str) -> DataFrame:
     """id, nn, d: of each stale cluster the nearest other one by ward or avgsq, ties by the smaller id.
 
@@ -184,6 +275,32 @@ def complete_candidates(points: DataFrame, labels: DataFrame, centers: DataFrame
     return inside.join(sizes, "label").filter("_m = _n").select("center", "label")
 
 
+def centroid_range_join(clusters: DataFrame, radius: float, method: str = "ward") -> DataFrame:
+    """a < b, d: distances by ward or avgsq of the clusters whose centroids lie within ``radius``. clusters: id, v, n, var."""
+    near = ball_join(clusters.select("id", "v"), clusters.select(F.col("id").alias("center"), F.col("v").alias("c")), radius).filter("center < id").select(F.col("center").alias("a"), F.col("id").alias("b"), "d")
+    own = lambda i: clusters.select(F.col("id").alias(i), F.col("n").alias(f"n{i}"), F.col("var").alias(f"v{i}"))
+    gap, na, nb = F.col("d") * F.col("d"), F.col("na"), F.col("nb")
+    d = {"ward": F.sqrt(2 * na * nb / (na + nb) * gap), "avgsq": gap + F.col("va") + F.col("vb")}[method]
+    return near.join(own("a"), "a").join(own("b"), "b").select("a", "b", d.alias("d"))
+
+
+def matrix_range_join(pairs: DataFrame, centroids: DataFrame, radius: float) -> DataFrame:
+    """The rows of ``pairs`` (a < b, d), looked up for the clusters whose centroids (id, v) lie within ``radius``."""
+    near = ball_join(centroids, centroids.select(F.col("id").alias("center"), F.col("v").alias("c")), radius).filter("center < id")
+    return pairs.join(near.select(F.col("center").alias("a"), F.col("id").alias("b")), ["a", "b"])
+
+
+def merged_stats(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Statistics of the unions of clusters, from both sides' cluster_stats (key, dim, n, mean, lo, hi).
+
+    A mean that is the same on both sides is kept as it is, so that copies don't drift.
+    """
+    right = b.select(key, "dim", *(F.col(c).alias(f"_{c}") for c in ("n", "mean", "lo", "hi")))
+    n = F.col("n") + F.col("_n")
+    mean = F.when(F.col("mean") == F.col("_mean"), F.col("mean")).otherwise((F.col("n") * F.col("mean") + F.col("_n") * F.col("_mean")) / n)
+    return a.join(right, [key, "dim"]).select(key, "dim", n.alias("n"), mean.alias("mean"), F.least("lo", "_lo").alias("lo"), F.greatest("hi", "_hi").alias("hi"))
+
+
 #: Statistics of the pairs between two groups, as combined from blocks.
 _PAIR_STATS = "a long, b long, n long, sum double, sumsq double, most double, far_i long, far_j long, least double, near_i long, near_j long"
 

@@ -13,6 +13,8 @@ from ramus.operators import dendrogram as D
 from ramus.operators import graphs as G
 from ramus.operators import sequences as S
 from ramus.operators import spatial as P
+from ramus.operators import tables as T
+from ramus.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 CATALOGUE: dict[str, tuple[Query, str | None]] = {}
@@ -202,6 +204,88 @@ def hdbscan_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.cost(C.hdbscan_merges(points(spark, sf_dir), 2)).select("n_merges", F.round("cost", 6).alias("cost"))
 
 
+# Clusters of suppliers by nation: range joins of their centroids.
+
+NATIONS = f"SELECT v[1]::BIGINT AS id, avg(v[2]) AS y, count(*) AS n, var_pop(v[2]) AS var FROM {SUP} GROUP BY 1"
+CLOSE = "sqrt((a.id - b.id) * (a.id - b.id) + (a.y - b.y) * (a.y - b.y)) <= 4"
+
+
+def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, v (centroid), n, var of the suppliers of each nation."""
+    rows = planar(spark, sf_dir).groupBy(F.col("v")[0].cast("long").alias("id")).agg(F.avg(F.col("v")[1]).alias("y"), F.count("*").alias("n"), F.var_pop(F.col("v")[1]).alias("var"))
+    return rows.select("id", F.array(F.col("id").cast("double"), "y").alias("v"), "n", "var")
+
+
+@query(f"WITH c AS ({NATIONS}) SELECT a.id AS a, b.id AS b, round(sqrt(2.0 * a.n * b.n / (a.n + b.n) * ((a.id - b.id) * (a.id - b.id) + (a.y - b.y) * (a.y - b.y))), 6) AS d FROM c a JOIN c b ON a.id < b.id AND {CLOSE}")
+def centroid_range_ward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.centroid_range_join(_nations(spark, sf_dir), 4.0, "ward").withColumn("d", F.round("d", 6))
+
+
+@query(f"WITH c AS ({NATIONS}) SELECT a.id AS a, b.id AS b, round(a.var + b.var + (a.id - b.id) * (a.id - b.id) + (a.y - b.y) * (a.y - b.y), 6) AS d FROM c a JOIN c b ON a.id < b.id AND {CLOSE}")
+def centroid_range_avgsq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.centroid_range_join(_nations(spark, sf_dir), 4.0, "avgsq").withColumn("d", F.round("d", 6))
+
+
+@query(f"WITH c AS ({NATIONS}), m AS (SELECT x.v[1]::BIGINT AS p, y.v[1]::BIGINT AS q, avg(list_distance(x.v, y.v)) AS d FROM {SUP} x JOIN {SUP} y ON x.v[1] < y.v[1] GROUP BY 1, 2) SELECT a.id AS a, b.id AS b, round(m.d, 6) AS d FROM c a JOIN c b ON a.id < b.id AND {CLOSE} JOIN m ON m.p = a.id AND m.q = b.id")
+def matrix_range_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = P.group_linkage(planar(spark, sf_dir).withColumn("nation", F.col("v")[0].cast("long")), "nation", "avg")
+    return P.matrix_range_join(pairs, _nations(spark, sf_dir), 4.0).select("a", "b", F.round("d", 6).alias("d"))
+
+
+@query(f"SELECT la::BIGINT AS label, round(min(d), 6) AS d, arg_min(j, (round(d, 9), j)) AS nn FROM ({BOTH}) WHERE la <> lb GROUP BY la")
+def cluster_foreign_nn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = points(spark, sf_dir)
+    near = P.knn(p, 1, group="label").join(p.select("id", "label"), "id")
+    return near.groupBy(F.col("label").cast("long").alias("label")).agg(F.min(F.struct("d", "nn")).alias("s")).select("label", F.round("s.d", 6).alias("d"), "s.nn")
+
+
+@query(f"SELECT (label // 2)::BIGINT AS pair, k::BIGINT AS dim, count(*) AS n, round(avg(x), 6) AS mean, round(min(x), 6) AS lo, round(max(x), 6) AS hi FROM (SELECT label, unnest(v) AS x, unnest(range(len(v))) AS k FROM {E}) GROUP BY 1, 2")
+def merged_cluster_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = P.cluster_stats(points(spark, sf_dir), "label").withColumn("pair", F.floor(F.col("label") / 2))
+    out = P.merged_stats(stats.filter("label % 2 = 0"), stats.filter("label % 2 = 1"), "pair")
+    return out.select("pair", F.col("dim").cast("long").alias("dim"), "n", *(F.round(c, 6).alias(c) for c in ("mean", "lo", "hi")))
+
+
+CUSTOMERS = "(SELECT c_custkey AS id, [c_nationkey::DOUBLE, c_acctbal / 1000] AS v FROM customer)"
+
+
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.array(F.col("c_nationkey").cast("double"), F.col("c_acctbal") / 1000).alias("v"))
+
+
+@query(f"SELECT id, rank, j AS nn, round(d, 6) AS d FROM (SELECT a.id, b.id AS j, {DIST} AS d, row_number() OVER (PARTITION BY a.id ORDER BY {DIST}, b.id) AS rank FROM {CUSTOMERS} a JOIN {CUSTOMERS} b ON a.id <> b.id) WHERE rank <= 3")
+def knn_by_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.knn_by_boxes(_customers(spark, sf_dir), 3, block_rows=64).withColumn("d", F.round("d", 6))
+
+
+@query(f"WITH p AS (SELECT id, v FROM {CUSTOMERS} WHERE id % 7 <> 0 UNION ALL SELECT id + 1000000000, v FROM {SUP}) SELECT s.id AS center, p.id FROM {SUP} s JOIN p ON abs(p.v[1] - s.v[1]) <= 1.25 AND abs(p.v[2] - s.v[2]) <= 1.25")
+def dynamic_points_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, more = _customers(spark, sf_dir), planar(spark, sf_dir)
+    kept = T.erase(first, first.filter("id % 7 = 0"), ["id"]).union(more.select(F.col("id") + 1000000000, "v"))
+    return P.box_join(kept, more.select(F.col("id").alias("center"), F.col("v").alias("c")), 1.25)
+
+
+_CELL = lambda x, lo, w: f"least(greatest(floor(({x} - ({lo})) / {w})::BIGINT, 0), 1023)"
+
+
+@query(f"SELECT id, list_sum([((x >> b) & 1) * (1::BIGINT << (2 * b)) + ((y >> b) & 1) * (2::BIGINT << (2 * b)) FOR b IN range(10)])::BIGINT AS code FROM (SELECT id, {_CELL('v[1]', '0.0', '0.25')} AS x, {_CELL('v[2]', '-1.0', '0.015625')} AS y FROM {CUSTOMERS})")
+def morton_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _customers(spark, sf_dir).select("id", V.morton("v", [0.0, -1.0], [0.25, 0.015625], 10).alias("code"))
+
+
+@query("WITH o AS (SELECT o_custkey, arg_max(o_totalprice, o_orderkey) AS p FROM orders GROUP BY 1) SELECT coalesce(c_custkey, o_custkey) AS id, coalesce(p, c_acctbal) AS balance FROM customer FULL JOIN o ON c_custkey = o_custkey")
+def upsert_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    have = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"))
+    changes = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_totalprice").alias("balance"), "o_orderkey")
+    return T.upsert(have, changes, ["id"], "o_orderkey")
+
+
+@query("SELECT c_custkey AS id, c_acctbal AS balance FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+def erase_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    have = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"))
+    return T.erase(have, table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("id")), ["id"])
+
+
 NEAR = f"SELECT a.id AS u, b.id AS v FROM {SUP} a JOIN {SUP} b ON {DIST} <= 0.8"
 
 
@@ -347,6 +431,13 @@ def group_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.boundaries(_events(spark, sf_dir), "event_type", "event_id")
 
 
+@query(f"SELECT count(*) AS n, (count(*) - 1)::BIGINT AS last, count(*) AS n_different, (count(*) * (count(*) - 1) // 2)::BIGINT AS total FROM {EV}")
+def permutation_is_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every position from 0 on once."""
+    p = S.random_order(_events(spark, sf_dir), "event_id", 7)
+    return p.agg(F.count("*").alias("n"), F.max("pos").alias("last"), F.count_distinct("pos").alias("n_different"), F.sum("pos").alias("total"))
+
+
 @query()
 def random_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.random_order(_events(spark, sf_dir), "event_id", 7).select("event_id", "pos")
@@ -382,6 +473,28 @@ def csr_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.csr_offsets(e, max(3000, 0 if last is None else last + 1))
 
 
+@query(SYM)
+def edges_of_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.edges_of(G.adjacency(G.symmetric(_edges(spark, sf_dir))))
+
+
+@query("SELECT l_suppkey AS u, l_partkey AS v, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def weights_by_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges by ends and weight: equal ends have one weight in (0, 1], so the pairs of ends alone make the groups."""
+    w = G.with_weights(_edges(spark, sf_dir)).filter("w > 0 AND w <= 1")
+    return w.groupBy("u", "v", "w").agg(F.count("*").alias("n")).drop("w")
+
+
+_MESH = "(SELECT o_orderkey AS t, o_custkey % 40 AS a, 40 + o_orderkey % 41 AS b, 81 + (o_orderkey * 7 + o_custkey) % 43 AS c FROM orders WHERE o_orderkey % 10 = 0)"
+
+
+@query(f"WITH s AS (SELECT t, a AS p, b AS q FROM {_MESH} UNION ALL SELECT t, b, c FROM {_MESH} UNION ALL SELECT t, a, c FROM {_MESH}) SELECT DISTINCT x.t, y.t AS other FROM s x JOIN s y ON x.p = y.p AND x.q = y.q AND x.t <> y.t")
+def mesh_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, k = table(spark, sf_dir, "orders").filter("o_orderkey % 10 = 0"), F.col("o_orderkey")
+    mesh = o.select(k.alias("t"), (F.col("o_custkey") % 40).alias("a"), (40 + k % 41).alias("b"), (81 + (k * 7 + F.col("o_custkey")) % 43).alias("c"))
+    return G.triangle_neighbours(mesh)
+
+
 @query("SELECT l_suppkey AS row, round(sum(l_quantity * p_retailprice), 4) AS value FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1")
 def spmv(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("u"), F.col("l_partkey").alias("v"), F.col("l_quantity").alias("w"))
@@ -407,6 +520,12 @@ def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"))
 
 
+@query("SELECT doc_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\r\\x00]+'), lambda x: regexp_full_match(x, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?'))) AS n_numbers FROM documents")
+def number_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.split(F.coalesce("text", F.lit("")), r"[ \t\n\r\x00]+")
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.filter(t, files.is_number)).cast("long").alias("n_numbers"))
+
+
 @query("SELECT l_orderkey, l_linenumber, concat_ws(' ', l_orderkey, l_linenumber, l_partkey) AS line FROM lineitem")
 def format_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat_ws(" ", "l_orderkey", "l_linenumber", "l_partkey").alias("line"))
@@ -425,6 +544,52 @@ def vector_math(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Boxes of side 5 at a line item's four measures and at a fixed corner; unrolled in SQL.
+
+_M = list(zip(("l_quantity", "l_extendedprice / 1000", "l_discount * 100", "l_tax * 100"), (25, 30, 5, 4)))
+_ALL = lambda form, by=" + ": by.join(form.format(x=f"({x})", c=f"{c}.0") for x, c in _M)
+_GAP = "power(greatest({x} - ({c} + 5), {c} - ({x} + 5), 0), 2)"
+
+
+@query(
+    f"SELECT l_orderkey, l_linenumber, round(({_ALL('({x} + {c})')}) * 0.5, 6) AS total, round({_ALL('(greatest({x}, {c}) - least({x}, {c}))')}, 6) AS spread, round({_ALL('({x} * {c})')}, 5) AS dot, "
+    f"({' + '.join(f'(({x}) > {c})::INT * {1 << k}' for k, (x, c) in enumerate(_M))})::BIGINT AS quadrant, round({_ALL('CASE WHEN {x} > {c} THEN {c} + 2 ELSE {c} - 2 END')}, 6) AS shifted, "
+    f"round(sqrt({_ALL(_GAP)}), 6) AS gap, round(sqrt({_ALL('power(abs({x} - {c}) + 5, 2)')}), 6) AS span, sqrt({_ALL('power({x} - {c}, 2)')}) <= 20 AS in_ball, "
+    f"CASE WHEN {_ALL('({x} >= {c} AND {x} + 1 <= {c} + 5)', ' AND ')} THEN 'include' WHEN sqrt({_ALL('power(greatest({c} - ({x} + 1), {x} - ({c} + 5), 0), 2)')}) > 0 THEN 'exclude' ELSE 'overlap' END AS relation FROM lineitem"
+)
+def vector_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, c = F.array(*(F.expr(x) for x, _ in _M)), F.array(*(F.lit(float(c)) for _, c in _M))
+    up = lambda v, k: F.transform(v, lambda x: x + k)
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.round(total(V.scale(V.add(q, c), 0.5)), 6).alias("total"), F.round(total(V.sub(V.max_coords(q, c), V.min_coords(q, c))), 6).alias("spread"),
+        F.round(V.dot(q, c), 5).alias("dot"), V.quadrant(q, c).alias("quadrant"), F.round(total(V.offset_point(c, V.quadrant(q, c), F.lit(2.0))), 6).alias("shifted"),
+        F.round(V.box_box_distance(q, up(q, 5), c, up(c, 5)), 6).alias("gap"), F.round(V.box_box_span(q, up(q, 5), c, up(c, 5)), 6).alias("span"), V.in_ball(q, c, 20.0).alias("in_ball"),
+        V.box_relation(c, up(c, 5), q, up(q, 1)).alias("relation"),
+    )
+
+
+# A planar triangle with whole coordinates for each line item.
+
+_TRI = "(SELECT l_orderkey, l_linenumber, l_quantity AS a0, l_linenumber::DOUBLE AS a1, (l_suppkey % 23)::DOUBLE AS b0, l_quantity AS b1, (l_partkey % 37)::DOUBLE AS c0, (l_partkey % 11)::DOUBLE AS c1 FROM lineitem)"
+_COS = lambda p, q, r: f"degrees(acos(least(greatest((({q}0 - {p}0) * ({r}0 - {p}0) + ({q}1 - {p}1) * ({r}1 - {p}1)) / (sqrt(power({q}0 - {p}0, 2) + power({q}1 - {p}1, 2)) * sqrt(power({r}0 - {p}0, 2) + power({r}1 - {p}1, 2))), -1), 1)))"
+
+
+@query(
+    f"SELECT l_orderkey, l_linenumber, cross_ / 2 AS area, cross_ > 0 AS ccw, round(least({_COS('a', 'b', 'c')}, {_COS('b', 'c', 'a')}, {_COS('c', 'a', 'b')}), 4) AS least_angle, "
+    f"round(a0 + ((c1 - a1) * bb - (b1 - a1) * cc) / (2 * cross_), 5) AS x, round(a1 + ((b0 - a0) * cc - (c0 - a0) * bb) / (2 * cross_), 5) AS y "
+    f"FROM (SELECT *, (b0 - a0) * (c1 - a1) - (b1 - a1) * (c0 - a0) AS cross_, power(b0 - a0, 2) + power(b1 - a1, 2) AS bb, power(c0 - a0, 2) + power(c1 - a1, 2) AS cc FROM {_TRI}) WHERE cross_ <> 0"
+)
+def planar_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = lambda x: F.expr(x).cast("double")
+    corners = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.array(d("l_quantity"), d("l_linenumber")).alias("a"), F.array(d("l_suppkey % 23"), d("l_quantity")).alias("b"), F.array(d("l_partkey % 37"), d("l_partkey % 11")).alias("c")
+    )
+    area, centre = V.triangle_area("a", "b", "c"), V.circumcenter("a", "b", "c")
+    real = corners.filter(area != 0)
+    return real.select("l_orderkey", "l_linenumber", area.alias("area"), V.counter_clockwise("a", "b", "c").alias("ccw"), F.round(V.min_angle("a", "b", "c"), 4).alias("least_angle"), F.round(centre[0], 5).alias("x"), F.round(centre[1], 5).alias("y"))
+
+
 def queries() -> dict[str, Query]:
     return {name: q for name, (q, _) in CATALOGUE.items()}
 

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ramus.operators.graphs import csr_offsets
 from ramus.operators.sequences import with_rank
 from ramus.operators.storage import cut
 
@@ -25,6 +26,11 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(spark.sparkContext.textFile(path).zipWithIndex().map(lambda x: (x[1], x[0])), "line long, value string")
 
 
+def whole_files(spark: SparkSession, path: str) -> DataFrame:
+    """path, value: each file as one string; a file is held whole by its task."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+
+
 def tokens(spark: SparkSession, path: str, separators: str = SPACE) -> DataFrame:
     """pos, token over the whole file; the lines don't matter."""
     split = lines(spark, path).select("line", F.posexplode(F.array_remove(F.split("value", separators), "")).alias("k", "token"))
@@ -158,6 +164,11 @@ def uniform_points(spark: SparkSession, n: int, dim: int, seed: int = 0) -> Data
     return spark.range(n).select("id", F.array(*(unit(k) for k in range(dim))).alias("v"))
 
 
+def is_number(token: Column | str) -> Column:
+    """True for decimal numbers with an optional sign, fraction and exponent."""
+    return (F.col(token) if isinstance(token, str) else token).rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
+
+
 def _text(columns: list[Column | str]) -> Column:
     return F.concat_ws(" ", *(F.col(c).cast("string") if isinstance(c, str) else c for c in columns))
 
@@ -182,3 +193,41 @@ def write_points(points: DataFrame, path: str, headed: bool = False) -> None:
 def write_edges(edges: DataFrame, path: str, weighted: bool = False) -> None:
     columns = ["u", "v", "w"] if weighted else ["u", "v"]
     write_lines(edges, columns, path, ["u", "v"], "WeightedEdgeArray" if weighted else "EdgeArray")
+
+
+def _write_parts(parts: list[DataFrame], path: str, header: list[str]) -> None:
+    """Lines (pos, value) of each part in order, one part after the other, after the header's lines."""
+    spark = parts[0].sparkSession
+    rows = spark.createDataFrame([(-1, k, line) for k, line in enumerate(header)], "part int, pos long, value string")
+    for k, part in enumerate(parts):
+        rows = rows.union(part.select(F.lit(k), F.col("pos").cast("long"), F.col("value").cast("string")))
+    write_lines(rows, ["value"], path, ["part", "pos"])
+
+
+def write_adjacency(edges: DataFrame, n: int, path: str) -> None:
+    """An AdjacencyGraph file of edges (u, v) between 0 .. n - 1."""
+    starts = csr_offsets(edges, n).select(F.col("row").alias("pos"), F.col("start").alias("value"))
+    targets = with_rank(edges.select("u", "v"), ["u", "v"]).select("pos", F.col("v").alias("value"))
+    _write_parts([starts, targets], path, ["AdjacencyGraph", str(n), str(edges.count())])
+
+
+def write_triangles(points: DataFrame, triangles: DataFrame, path: str) -> None:
+    """A pbbs_triangles file of planar points (id from 0, v) and triangles (t, a, b, c)."""
+    corners = points.select(F.col("id").alias("pos"), F.array_join(F.transform("v", lambda x: F.format_string("%.11e", x)), " ").alias("value"))
+    rows = triangles.select(F.col("t").alias("pos"), _text(["a", "b", "c"]).alias("value"))
+    _write_parts([corners, rows], path, ["pbbs_triangles", str(points.count()), str(triangles.count())])
+
+
+def write_dendrogram(rows: DataFrame, path: str) -> None:
+    """Lines of id1 id2 height size, a merge each, in their order."""
+    write_lines(rows, ["id1", "id2", F.format_string("%.20f", "height"), "size"], path, ["step"])
+
+
+def write_merges(merges: DataFrame, path: str) -> None:
+    """Lines of lo hi height, a merge each, by round and ids."""
+    write_lines(merges, ["lo", "hi", "height"], path, ["round", "lo", "hi"])
+
+
+def write_labels(labels: DataFrame, path: str) -> None:
+    """Lines of id,label, in the order of ids."""
+    write_lines(labels.select("id", F.concat_ws(",", "id", "label").alias("t")), ["t"], path, ["id"])

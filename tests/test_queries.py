@@ -3,6 +3,7 @@
 import glob
 import importlib
 import math
+import random
 from collections import Counter
 from pathlib import Path
 
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ramus.functions import vectors as V
 from ramus.operators import sequences as S
+from ramus.operators import spatial as P
+from ramus.operators import tables as T
 from ramus.plans import catalogue
 from ramus.streaming import assign as A
 
@@ -31,10 +34,7 @@ def canonical(rows, names, columns):
     return sorted((tuple(round(r[i], 5) + 0.0 if isinstance(r[i], float) else r[i] for i in at) for r in rows), key=repr)
 
 
-SKIPPED = {"pair_sq_distances", "mutual_reachability_3", "linkage_single_by_label", "fcluster_single"}
-
-
-@pytest.mark.parametrize("name", sorted(set(catalogue.oracle_sql()) - SKIPPED))
+@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_oracle(spark, duck, name):
     df = catalogue.queries()[name](spark, SF)
     found = duck.execute(catalogue.oracle_sql()[name])
@@ -60,6 +60,34 @@ def test_scan_over_many_blocks(spark):
         total += i % 7 - 3
 
 
+def test_upsert_and_erase(spark):
+    have = spark.createDataFrame([(1, "a", 1.0), (2, "b", None), (None, "n", 3.0)], "k long, s string, x double")
+    changes = spark.createDataFrame([(2, "c", 5.0, 1), (2, "d", None, 2), (None, "m", 4.0, 1), (7, "e", 6.0, 1)], "k long, s string, x double, version int")
+    assert sorted(map(tuple, T.upsert(have, changes, ["k"], "version").collect()), key=repr) == sorted([(1, "a", 1.0), (2, "d", None), (None, "m", 4.0), (7, "e", 6.0)], key=repr)
+    assert [r.k for r in T.erase(have, changes, ["k"]).orderBy("k").collect()] == [None, 1]
+    assert T.upsert(have, changes.limit(0), ["k"], "version").count() == 3
+
+
+@pytest.mark.parametrize("include_self", [False, True])
+def test_neighbours_by_boxes(spark, include_self):
+    # Ties, copies of one point over several blocks, far points, and enough blocks for two levels.
+    r = random.Random(3)
+    rows = [(i, [float(r.randrange(12)), float(r.randrange(12)), r.choice([0.0, 1.0])]) for i in range(260)] + [(1000 + i, [3.0, 3.0, 0.0]) for i in range(20)] + [(2000, [900.0, -5.0, 1.0])]
+    table = spark.createDataFrame(rows, "id long, v array<double>")
+    got = {(x.id, x["rank"]): (x.nn, round(x.d, 9)) for x in P.knn_by_boxes(table, 3, include_self, block_rows=4).collect()}
+    want = {}
+    for i, v in rows:
+        best = sorted((math.dist(v, w), j) for j, w in rows if include_self or i != j)[:3]
+        want |= {(i, k + 1): (j, round(d, 9)) for k, (d, j) in enumerate(best)}
+    assert got == want
+
+
+@pytest.mark.parametrize("n", [0, 1, 2])
+def test_neighbours_by_boxes_of_few(spark, n):
+    table = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(n)], "id long, v array<double>")
+    assert P.knn_by_boxes(table, 3).count() == n * max(n - 1, 0)
+
+
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first().x
 
@@ -80,6 +108,7 @@ def test_planar_geometry(spark):
     assert one(spark, V.quadrant(p(5, 1, 5), p(2, 2, 2))) == 5
     assert one(spark, V.condensed_index(F.lit(1), F.lit(3), 5)) == 5
     assert one(spark, V.max_dim(p(1, 7, 7))) == 1
+    assert [one(spark, V.search_radius(m, F.lit(4.0), F.lit(2))) for m in ("avg", "avgsq", "ward")] == pytest.approx([4, 2, 4 * 0.75**0.5])
 
 
 def test_assign_on_static_and_streaming_tables(spark, tmp_path):

@@ -56,3 +56,39 @@ def test_triangles(spark, tmp_path):
 def test_binary_csr(spark, tmp_path):
     (tmp_path / "g.bin").write_bytes(np.array([2, 3, 3, 0, 2, 3, 1, 2, 0], "<i4").tobytes())
     assert sorted(map(tuple, S.read_binary_csr(spark, str(tmp_path / "g.bin")).collect())) == [(0, 1), (0, 2), (1, 0)]
+
+
+def read_back(folder):
+    return "".join(p.read_text() for p in sorted(folder.glob("part-*")))
+
+
+def test_adjacency_round_trip(spark, tmp_path):
+    edges = spark.createDataFrame([(0, 2), (2, 0), (2, 1), (3, 3), (0, 1)], "u long, v long")
+    S.write_adjacency(edges, 5, str(tmp_path / "out"))
+    text = read_back(tmp_path / "out")
+    assert text.split() == ["AdjacencyGraph", "5", "5", "0", "2", "2", "4", "5", "1", "2", "0", "1", "3"]
+    assert sorted((r.u, r.v) for r in S.read_adjacency(spark, put(tmp_path, text)).collect()) == [(0, 1), (0, 2), (2, 0), (2, 1), (3, 3)]
+
+
+def test_triangles_round_trip(spark, tmp_path):
+    points = spark.createDataFrame([(0, [0.0, 0.5]), (1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, v array<double>")
+    S.write_triangles(points, spark.createDataFrame([(0, 0, 1, 2)], "t long, a long, b long, c long"), str(tmp_path / "out"))
+    back, triangles = S.read_triangles(spark, put(tmp_path, read_back(tmp_path / "out")))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, points.collect()))
+    assert [tuple(r) for r in triangles.collect()] == [(0, 0, 1, 2)]
+
+
+def test_dumps(spark, tmp_path):
+    S.write_dendrogram(spark.createDataFrame([(0, 0, 4, 0.5, 2), (1, 1, 6, 1.0, 3)], "step long, id1 long, id2 long, height double, size long"), str(tmp_path / "d"))
+    assert read_back(tmp_path / "d").splitlines() == ["0 4 0.50000000000000000000 2", "1 6 1.00000000000000000000 3"]
+    S.write_labels(spark.createDataFrame([(1, 3), (0, 3)], "id long, label long"), str(tmp_path / "l"))
+    assert read_back(tmp_path / "l").splitlines() == ["0,3", "1,3"]
+    S.write_merges(spark.createDataFrame([(2, 1, 4, 2.0, 3), (1, 0, 1, 0.5, 2)], "round long, lo long, hi long, height double, size long"), str(tmp_path / "m"))
+    assert read_back(tmp_path / "m").splitlines() == ["0 1 0.5", "1 4 2.0"]
+
+
+def test_whole_files_and_numbers(spark, tmp_path):
+    path = put(tmp_path, "a 1\n-2.5e3 . 7.")
+    assert [r.value for r in S.whole_files(spark, path).collect()] == ["a 1\n-2.5e3 . 7."]
+    found = S.tokens(spark, path).filter(S.is_number("token")).orderBy("pos").collect()
+    assert [r.token for r in found] == ["1", "-2.5e3", "7."]
