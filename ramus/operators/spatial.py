@@ -162,10 +162,12 @@ def knn_by_boxes(points: DataFrame, k: int, include_self: bool = False, block_ro
 
     A point's k nearest in its own block bound how far its true ones can lie, so each point
     goes only to the blocks whose boxes are within its bound. In many dimensions boxes prune
-    little, and blocks full of copies of one point all meet each other.
+    little, and blocks full of copies of one point all meet each other. No points give no rows.
     """
-    store = Tables(points.sparkSession, "knn")
     dims = (points.select(F.size("v")).first() or [0])[0]
+    if not dims:
+        return points.sparkSession.createDataFrame([], "id long, rank long, nn long, d double")
+    store = Tables(points.sparkSession, "knn")
     along = min(dims, 3)
     span = points.agg(*(f(F.col("v")[j]) for j in range(along) for f in (F.min, F.max))).first()
     lo = [span[2 * j] or 0.0 for j in range(along)]

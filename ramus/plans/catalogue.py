@@ -569,7 +569,8 @@ def vector_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# A planar triangle with whole coordinates for each line item.
+# A planar triangle with whole coordinates for each line item. A little is added to the centres, as many of them lie
+# halfway between two rounded values.
 
 _TRI = "(SELECT l_orderkey, l_linenumber, l_quantity AS a0, l_linenumber::DOUBLE AS a1, (l_suppkey % 23)::DOUBLE AS b0, l_quantity AS b1, (l_partkey % 37)::DOUBLE AS c0, (l_partkey % 11)::DOUBLE AS c1 FROM lineitem)"
 _COS = lambda p, q, r: f"degrees(acos(least(greatest((({q}0 - {p}0) * ({r}0 - {p}0) + ({q}1 - {p}1) * ({r}1 - {p}1)) / (sqrt(power({q}0 - {p}0, 2) + power({q}1 - {p}1, 2)) * sqrt(power({r}0 - {p}0, 2) + power({r}1 - {p}1, 2))), -1), 1)))"
@@ -577,7 +578,7 @@ _COS = lambda p, q, r: f"degrees(acos(least(greatest((({q}0 - {p}0) * ({r}0 - {p
 
 @query(
     f"SELECT l_orderkey, l_linenumber, cross_ / 2 AS area, cross_ > 0 AS ccw, round(least({_COS('a', 'b', 'c')}, {_COS('b', 'c', 'a')}, {_COS('c', 'a', 'b')}), 4) AS least_angle, "
-    f"round(a0 + ((c1 - a1) * bb - (b1 - a1) * cc) / (2 * cross_), 5) AS x, round(a1 + ((b0 - a0) * cc - (c0 - a0) * bb) / (2 * cross_), 5) AS y "
+    f"round(a0 + ((c1 - a1) * bb - (b1 - a1) * cc) / (2 * cross_) + 1e-7, 5) AS x, round(a1 + ((b0 - a0) * cc - (c0 - a0) * bb) / (2 * cross_) + 1e-7, 5) AS y "
     f"FROM (SELECT *, (b0 - a0) * (c1 - a1) - (b1 - a1) * (c0 - a0) AS cross_, power(b0 - a0, 2) + power(b1 - a1, 2) AS bb, power(c0 - a0, 2) + power(c1 - a1, 2) AS cc FROM {_TRI}) WHERE cross_ <> 0"
 )
 def planar_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -587,7 +588,7 @@ def planar_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     area, centre = V.triangle_area("a", "b", "c"), V.circumcenter("a", "b", "c")
     real = corners.filter(area != 0)
-    return real.select("l_orderkey", "l_linenumber", area.alias("area"), V.counter_clockwise("a", "b", "c").alias("ccw"), F.round(V.min_angle("a", "b", "c"), 4).alias("least_angle"), F.round(centre[0], 5).alias("x"), F.round(centre[1], 5).alias("y"))
+    return real.select("l_orderkey", "l_linenumber", area.alias("area"), V.counter_clockwise("a", "b", "c").alias("ccw"), F.round(V.min_angle("a", "b", "c"), 4).alias("least_angle"), F.round(centre[0] + 1e-7, 5).alias("x"), F.round(centre[1] + 1e-7, 5).alias("y"))
 
 
 def queries() -> dict[str, Query]:
