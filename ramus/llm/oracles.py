@@ -63,5 +63,24 @@ FROM x LEFT JOIN f ON f.lang IS NOT DISTINCT FROM x.lang AND f.source IS NOT DIS
 """
 
 
+OP11 = r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+grp AS (SELECT DISTINCT lang, source FROM d),
+cnt AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(ws) AS term FROM d) GROUP BY ALL),
+voc AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(ws)) AS term FROM d) GROUP BY ALL HAVING count(*) >= 10),
+size AS (SELECT lang, count(*) AS v FROM voc GROUP BY lang),
+full_n AS (SELECT g.lang, g.source, t.term, coalesce(c.n, 0) AS n FROM grp g JOIN voc t USING (lang) LEFT JOIN cnt c ON c.lang = g.lang AND c.source = g.source AND c.term = t.term),
+own AS (SELECT lang, source, sum(n) AS total FROM full_n GROUP BY ALL),
+p AS (SELECT f.lang, f.source, f.term, f.n, 1 + (1000000000::HUGEINT * (f.n + 2)) // (o.total + 2 * s.v)::HUGEINT AS p FROM full_n f JOIN own o USING (lang, source) JOIN size s USING (lang)),
+all_n AS (SELECT lang, term, sum(n) AS n FROM full_n GROUP BY ALL),
+q AS (SELECT a.lang, a.term, 1 + (1000000000::HUGEINT * (a.n + 2)) // (sum(a.n) OVER (PARTITION BY a.lang) + 2 * s.v)::HUGEINT AS q FROM all_n a JOIN size s USING (lang)),
+sums AS (SELECT x.lang, x.source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) AS value FROM p x JOIN p y USING (lang, term) WHERE x.source <> y.source GROUP BY ALL),
+pairs AS (SELECT g.lang, g.source, h.source AS item, coalesce(s.value, 0) AS value FROM grp g JOIN grp h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN sums s ON s.lang = g.lang AND s.source = g.source AND s.item = h.source),
+terms AS (SELECT p.lang, p.source, p.term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT *, 'pair' AS part FROM pairs UNION ALL BY NAME SELECT *, 'term' AS part FROM terms))
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1, "op4_decontaminate": OP4, "op8_quality_rules": OP8}
+    return {"op1_substring_dedup": OP1, "op4_decontaminate": OP4, "op8_quality_rules": OP8, "op11_source_divergence": OP11}

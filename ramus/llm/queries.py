@@ -11,6 +11,7 @@ from ramus.llm.near_dedup import near_dedup
 from ramus.llm.quality_knn import quality_knn
 from ramus.llm.quality_rules import quality_rules
 from ramus.llm.sentencepiece_codec import sentencepiece_codec
+from ramus.llm.source_divergence import source_divergence
 from ramus.llm.substring_dedup import substring_dedup
 from ramus.llm.token_files import token_output
 from ramus.llm.toxicity import toxicity
@@ -70,6 +71,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("rec.doc_id", "p_toxic", "severity", "grade", "toxic")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    found = (op1_substring_dedup, op2_token_files, op3_license_scan, op4_decontaminate, op5_sentencepiece, op6_lm_score, op7_near_dedup, op8_quality_rules, op9_quality_knn, op10_toxicity)
+    found = (op1_substring_dedup, op2_token_files, op3_license_scan, op4_decontaminate, op5_sentencepiece, op6_lm_score, op7_near_dedup, op8_quality_rules, op9_quality_knn, op10_toxicity, op11_source_divergence)
     return {f.__name__: f for f in found}
