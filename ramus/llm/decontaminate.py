@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ramus.llm.shared import once
+from ramus.llm.shared import Safe, once
 from ramus.operators.storage import Tables
 
 BROADCAST_ROWS = 200_000
@@ -57,15 +57,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     their text, so repeated rows all get their results. Empty tables of documents
     give no rows, of items no hits. Columns may have any names.
     """
-    windows = item_windows(items.select(F.coalesce(items[item_id].cast("string"), F.lit("")).alias("_i"), items[item_text].alias("_t")), "_i", "_t", size)
+    t, b = Safe(docs, keep), Safe(items)
+    windows = item_windows(b.rows.select(F.coalesce(b.col(item_id).cast("string"), F.lit("")).alias("_i"), b.col(item_text).alias("_t")), "_i", "_t", size)
     store = Tables(docs.sparkSession, "decontaminate")
     windows = store.put("windows", windows)
     n_windows = windows.count()
-    text = F.coalesce(docs[text_col], F.lit(""))
-    keep = docs.columns if keep is None else keep
+    text, row_id = F.coalesce(t.col(text_col), F.lit("")), t.col(id_col)
     # The text travels once: in rec if it is kept, else beside it.
-    base = docs.select(F.struct(*keep).alias("rec"), F.xxhash64(docs[id_col], text).alias("uid"), F.xxhash64(F.lit(1), text, docs[id_col]).alias("sum"), *([] if text_col in keep else [text.alias("_text")]))
-    text = F.col("rec")[text_col] if text_col in keep else F.col("_text")
+    base = t.rows.select(t.rec, F.xxhash64(row_id, text).alias("uid"), F.xxhash64(F.lit(1), text, row_id).alias("sum"), *([] if t.holds(text_col) else [text.alias("_text")]))
+    text = F.col("rec")[t.field(text_col)] if t.holds(text_col) else F.col("_text")
     # The number of words is made below the generator, which else would copy the whole array to each of its rows.
     split = base.select("uid", "sum", raw_words(text).alias("_w")).select("uid", "sum", F.size("_w").alias("n"), "_w")
     # The outer form, as Spark gives the inner one a filter that splits every text again; words aren't null.
@@ -91,4 +91,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     hit = F.array_distinct(F.flatten(F.transform("true", lambda c: F.sequence(c.start, c.start + F.size(c.words) - 1))))
     items = F.array_sort(F.array_distinct(F.flatten(F.transform("true", lambda c: c["items"]))))
     out = once(true, ["rec", "n_words"], hit=hit, items=items)
-    return out.select("rec", "hit", "items", "n_words", F.size("hit").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.size("hit") > 0).alias("contaminated"))
+    return t.out(out).select("rec", "hit", "items", "n_words", F.size("hit").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.size("hit") > 0).alias("contaminated"))

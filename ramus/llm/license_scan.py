@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ramus.llm.arrowtext import LOWER_ALNUM, Words, chunks, runs
+from ramus.llm.shared import Safe, without
 
 # Phrases that always count, with their labels.
 BASE_PHRASES = {
@@ -224,10 +225,10 @@ def license_scan(docs: DataFrame, text_col: str = "text", templates: dict[str, s
     texts have no words, no labels and score 0. Input columns may have any names.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
 
-    base = docs.select(F.struct(*([c for c in docs.columns if c != text_col] if keep is None else keep)).alias("rec"), F.col(text_col).alias("text"))
-    schema = f"rec {base.schema['rec'].dataType.simpleString()}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<template:string,coverage:double,first:long,last:long>>"
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    t = Safe(docs, without(docs, text_col) if keep is None else keep)
+    base = t.rows.select(t.rec, t.col(text_col).alias("text"))
+    schema = t.schema("n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<template:string,coverage:double,first:long,last:long>>")
+    arrow = to_arrow_schema(schema)
     args = (templates or TEMPLATES, BASE_PHRASES if phrases is None else phrases, min_match, max_gap, coverage, arrow)
-    return base.mapInArrow(lambda b: _scan(b, *args), schema)
+    return t.out(base.mapInArrow(lambda b: _scan(b, *args), schema))

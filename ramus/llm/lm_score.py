@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ramus.llm.arrowtext import Words, chunks, hashes, mix
+from ramus.llm.shared import Safe, without
 from ramus.operators.storage import Tables
 
 #: Weight of the lower order, in tokens. Losses of left-out texts at sf0.1 with 1, 10, 100, 300, 1000: 9.58, 8.90, 8.58, 8.56, 8.64.
@@ -191,12 +192,12 @@ def lm_score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     rows. Columns may have any names.
     """
     spark, tables = docs.sparkSession, Tables(docs.sparkSession, "lm-score")
-    keep = [c for c in docs.columns if c != text_col] if keep is None else keep
-    base = docs.select(F.struct(*keep).alias("rec"), docs[id_col].alias("id"), docs[text_col].alias("text"))
+    t, mark = Safe(docs, without(docs, text_col) if keep is None else keep), Safe(labels)
+    base = t.rows.select(t.rec, t.col(id_col).alias("id"), t.col(text_col).alias("text"))
     rec, key = (base.schema[c].dataType.simpleString() for c in ("rec", "id"))
     blocks = tables.put("blocks", base.mapInArrow(_blocks, f"block long, size long, rec array<{rec}>, ids array<{key}>, words binary, tokens binary, counts binary"))
     # Ids alone meet the labels, once for each block; blocks get the ids of their target texts.
-    marked = labels.filter(labels[label] == target).select(labels[id_col].cast(key).alias("id")).filter("id IS NOT NULL").distinct()
+    marked = mark.rows.filter(mark.col(label) == target).select(mark.col(id_col).cast(key).alias("id")).filter("id IS NOT NULL").distinct()
     asked = blocks.select("block", F.explode(F.array_distinct("ids")).alias("id")).filter("id IS NOT NULL")
     targets = asked.join(marked.hint("shuffle_hash"), "id", "left_semi").groupBy("block").agg(F.collect_list("id").alias("targets"))
     flagged = tables.put("flagged", blocks.join(targets.hint("shuffle_hash"), "block", "left"))
@@ -207,4 +208,4 @@ def lm_score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     kinds, n_total, t_total = (x or 0 for x in answers.agg(F.sum("kinds"), F.sum("n_total"), F.sum("t_total")).first())
     found = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "t")).alias("found"))
     scored = flagged.join(found.hint("shuffle_hash"), "block", "left").select("rec", "ids", "targets", "words", "tokens", "counts", "found")
-    return scored.mapInArrow(lambda b: _score(b, kinds, n_total, t_total, mu), f"rec {rec}, n_tokens long, target_loss double, background_loss double, score double")
+    return t.out(scored.mapInArrow(lambda b: _score(b, kinds, n_total, t_total, mu), t.schema("n_tokens long, target_loss double, background_loss double, score double")))

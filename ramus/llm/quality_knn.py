@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ramus.llm.arrowtext import chunks
 from ramus.llm.labelled import fold_of, training_texts
+from ramus.llm.shared import Safe, without
 from ramus.llm.textfeatures import stylistic
 
 #: Labelled rows that the model is fitted on at most; hashed features; latent dimensions; voters.
@@ -111,9 +112,8 @@ def quality_knn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     score the share of label 1 in the sample (0.5 without labels). Input columns may
     have any names; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(learn(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")), labels.select(labels[id_col].alias("doc_id"), labels[label]), label, bound))
-    keep = [c for c in docs.columns if c != text_col] if keep is None else keep
-    base = docs.select(F.struct(*keep).alias("rec"), F.coalesce(fold_of(docs[id_col]) == 0, F.lit(False)).alias("held_out"), docs[text_col].alias("text"))
-    scored = base.mapInArrow(lambda b: _score(b, model.value), f"rec {base.schema['rec'].dataType.simpleString()}, held_out boolean, score double")
-    return scored.withColumn("predicted", (F.col("score") >= cut).cast("int"))
+    spark, t, mark = docs.sparkSession, Safe(docs, without(docs, text_col) if keep is None else keep), Safe(labels)
+    model = spark.sparkContext.broadcast(learn(t.rows.select(t.col(id_col).alias("doc_id"), t.col(text_col).alias("text")), mark.rows.select(mark.col(id_col).alias("doc_id"), mark.col(label).alias("label")), "label", bound))
+    base = t.rows.select(t.rec, F.coalesce(fold_of(t.col(id_col)) == 0, F.lit(False)).alias("held_out"), t.col(text_col).alias("text"))
+    scored = base.mapInArrow(lambda b: _score(b, model.value), t.schema("held_out boolean, score double"))
+    return t.out(scored).withColumn("predicted", (F.col("score") >= cut).cast("int"))

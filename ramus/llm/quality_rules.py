@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ramus.llm.shared import once
+from ramus.llm.shared import Safe, once
 from ramus.operators.storage import Tables
 
 K = 4096
@@ -96,16 +96,16 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     the text, texts are measured twice, for the sketches and for the verdict, so that
     no text is moved or stored; else the measures are written to a table in between.
     """
-    keep = docs.columns if keep is None else keep
-    group = [docs[lang_col].alias("_lang"), docs[source_col].alias("_source")]
-    base = docs.select(F.struct(*(docs[c] for c in keep)).alias("rec"), *group, docs[text_col].alias("_text"))
+    t = Safe(docs, keep)
+    group = [t.col(lang_col).alias("_lang"), t.col(source_col).alias("_source")]
+    base = t.rows.select(t.rec, *group, t.col(text_col).alias("_text"))
     measured = _with_verdict_inputs(text_measures(base, "_text", ["rec", "_lang", "_source"]))
-    if text_col in keep:
-        slim = _with_verdict_inputs(text_measures(docs.select(*group, docs[text_col].alias("_text")), "_text", ["_lang", "_source"]))
+    if t.holds(text_col):
+        slim = _with_verdict_inputs(text_measures(t.rows.select(*group, t.col(text_col).alias("_text")), "_text", ["_lang", "_source"]))
     else:
         measured = slim = Tables(docs.sparkSession, "measures").put("measures", measured)
     limits = Tables(docs.sparkSession, "fences").put("fences", fences(slim.filter(~F.col("base_failed")), fence))
-    return judge(measured, limits).select("rec", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return t.out(judge(measured, limits)).select("rec", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ramus.llm.arrowtext import binary_array, chunks, flat
+from ramus.llm.shared import Safe, without
 from ramus.llm.token_files import crc32
 
 MARKER = "▁".encode()
@@ -354,7 +355,7 @@ def sentencepiece_codec(docs: DataFrame, model: str, text_col: str = "text", kee
     the empty text. Texts that hold U+2581 themselves decode with a space in its
     place, as the marker is that character. Input columns may have any names.
     """
-    keep = [c for c in docs.columns if c != text_col] if keep is None else keep
-    base = docs.select(F.struct(*keep).alias("rec"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    schema = f"rec {base.schema['rec'].dataType.simpleString()}, n_pieces long, n_bytes long, ids_crc32 long, round_trip boolean" + ", ids array<int>, decoded string" * with_ids
-    return base.mapInArrow(lambda b: _codec(b, model, with_ids), schema)
+    t = Safe(docs, without(docs, text_col) if keep is None else keep)
+    base = t.rows.select(t.rec, F.coalesce(t.col(text_col), F.lit("")).alias("text"))
+    schema = t.schema("n_pieces long, n_bytes long, ids_crc32 long, round_trip boolean" + ", ids array<int>, decoded string" * with_ids)
+    return t.out(base.mapInArrow(lambda b: _codec(b, model, with_ids), schema))

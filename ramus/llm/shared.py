@@ -89,6 +89,6 @@ def row_keys(rows: DataFrame, row_id: Column, text: Column) -> list[Column]:
     for row in marked:
         words[row.slot // 63] |= 1 << row.slot % 63
     own = F.pmod(F.xxhash64(key), F.lit(ID_SLOTS)).cast("int")
-    often = F.getbit(F.element_at(F.lit(words), (F.floor(own / 63) + 1).cast("int")), own % 63) == 1
+    often = F.getbit(F.element_at(F.lit(words).cast("array<long>"), (F.floor(own / 63) + 1).cast("int")), own % 63) == 1
     made = lambda *x: F.when(often, F.xxhash64(*x)).otherwise(F.lit(0).cast("long"))
     return [key.alias("key"), made(key, text).alias("uid"), made(F.lit(1), text, key).alias("sum")]

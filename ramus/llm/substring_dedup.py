@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ramus.llm.arrowtext import Words, chunks, hashes, ints, mix, sliding_min, spaced
+from ramus.llm.shared import LAST, Safe, row_keys, without
 
-LAST = (1 << 63) - 1
 #: Text in a task's chunk, and packed super-k-mers aimed at in one bucket.
 MAP_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20
 #: Grams are counted in slots by 16 bits of their hash; those of a slot with this share of all windows, some seven
@@ -121,7 +121,8 @@ def _to_buckets(batches: Iterator[pa.RecordBatch], window: int, minimiser: int,
         if not len(first):
             continue
         text = np.searchsorted(words.per_text, first, side="right") - 1
-        order, uid, start = ints(batch.column("key"))[text], ints(batch.column("uid"))[text], first - words.per_text[text]
+        order, uid, sum_ = (ints(batch.column(c))[text] for c in ("key", "uid", "sum"))
+        start = first - words.per_text[text]
         joined, at = spaced(words.as_array())
         strings = [joined[a : b - 1] for a, b in zip(at[first].tolist(), at[first + length].tolist())]
         same = pa.array(strings, pa.large_binary()).dictionary_encode().indices.to_numpy()
@@ -130,22 +131,22 @@ def _to_buckets(batches: Iterator[pa.RecordBatch], window: int, minimiser: int,
         known = order > earliest[same]
         rows: list[tuple[int, bytes]] = []
         if known.any():
-            rows.append((-1 - int(uid[known][0]), _pack([order[known], uid[known], start[known], (start + length)[known]])))
+            rows.append((-1 - int(order[known][0] % 65536), _pack([order[known], uid[known], sum_[known], start[known], (start + length)[known]])))
         bucket = (mix(least) % np.uint64(buckets)).astype(np.int64)
         left = np.flatnonzero(~known)
         left = left[np.lexsort((least[left], bucket[left]))]
         cut = np.flatnonzero(np.diff(bucket[left], prepend=-1))
         for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(left)]):
             own = left[a:b]
-            rows.append((int(bucket[own[0]]), _pack([order[own], uid[own], start[own]], b"\n".join([strings[i] for i in own.tolist()]))))
+            rows.append((int(bucket[own[0]]), _pack([order[own], uid[own], sum_[own], start[own]], b"\n".join([strings[i] for i in own.tolist()]))))
         for i in range(0, len(rows), 512):
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows[i : i + 512]], pa.int64()), pa.array([r[1] for r in rows[i : i + 512]], pa.binary())], ["bucket", "data"])
 
 
 def repeated(parts: list[bytes], window: int) -> list[np.ndarray]:
-    """Order, document, first and end word of the runs of windows that an earlier document has, in one bucket."""
-    got = [_unpack(p, 3) for p in parts]
-    order, uid, start = (np.concatenate([g[0][i] for g in got]) for i in range(3))
+    """Key, uid, sum, first and end word of the runs of windows that an earlier document has, in one bucket."""
+    got = [_unpack(p, 4) for p in parts]
+    order, uid, sum_, start = (np.concatenate([g[0][i] for g in got]) for i in range(4))
     words = Words(pa.array([g[1] for g in got], pa.large_binary()))
     # Super-k-mers end at a line feed or at the end of their part.
     stop = np.append(words.raw, 10)[words.end] == 10
@@ -166,24 +167,24 @@ def repeated(parts: list[bytes], window: int) -> list[np.ndarray]:
     # Neighbouring late windows of a super-k-mer make one interval.
     at = np.flatnonzero(late)
     if not len(at):
-        return [np.empty(0, np.int64)] * 4
+        return [np.empty(0, np.int64)] * 5
     new = np.ones(len(at), bool)
     new[1:] = (np.diff(at) != 1) | (entry[at][1:] != entry[at][:-1])
     a, b = at[new], at[np.append(np.flatnonzero(new)[1:] - 1, len(at) - 1)]
     e = entry[a]
-    return [order[e], uid[e], start[e] + place[a], start[e] + place[b] + window]
+    return [order[e], uid[e], sum_[e], start[e] + place[a], start[e] + place[b] + window]
 
 
 def _in_buckets(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     now, parts = None, []
 
     def out(found: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["key", "uid", "first", "end"])
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["key", "uid", "sum", "first", "end"])
 
     for batch in batches:
         for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("data")):
             if bucket < 0:
-                yield out(_unpack(data.as_py(), 4)[0])
+                yield out(_unpack(data.as_py(), 5)[0])
                 continue
             if bucket != now and parts:
                 yield out(repeated(parts, window))
@@ -195,17 +196,12 @@ def _in_buckets(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.R
 
 
 def repeated_spans(docs: DataFrame, window: int = 13, minimiser: int = 3, share: float = SHARE) -> DataFrame:
-    """Word intervals to remove: key, uid, first, end. docs: key, uid, text (see :func:`_keyed`)."""
+    """Word intervals to remove: key, uid, sum, first, end. docs: key, uid, sum, text (see :func:`row_keys`)."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(64, 3 * size // BUCKET_BYTES)
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_slots(docs, window, minimiser, share))
-    packed = docs.select("key", "uid", "text").mapInArrow(lambda b: _to_buckets(b, window, minimiser, buckets, frequent.value), "bucket long, data binary")
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: _in_buckets(b, window), "key long, uid long, first long, end long")
-
-
-def _keyed(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("key"), F.xxhash64(F.col(id_col), text).bitwiseAND(0xFFFFFFFF).alias("uid"), text.alias("text"), F.struct(*keep).alias("rec"))
+    packed = docs.select("key", "uid", "sum", "text").mapInArrow(lambda b: _to_buckets(b, window, minimiser, buckets, frequent.value), "bucket long, data binary")
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: _in_buckets(b, window), "key long, uid long, sum long, first long, end long")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,11 +234,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a smaller id. Null and blank texts have no words. Rows with the same id don't
     remove each other's words; a null id counts as larger than all others, and as
     equal to other null ids. Texts shorter than the window stay whole. An empty
-    table gives no rows. The input's columns may have any names. Rows are told apart
-    by their id and 32 bits of a hash of id and text.
+    table gives no rows. The input's columns may have any names. Rows with one id are told
+    apart by 128 bits of hashes of id and text.
     """
-    keyed = _keyed(docs, id_col, text_col, [c for c in docs.columns if c != text_col] if keep is None else keep)
-    spans = repeated_spans(keyed, window, minimiser, share).groupBy("key", "uid").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
-    joined = keyed.join(spans.hint("shuffle_hash"), ["key", "uid"], "left").select("rec", "text", F.coalesce("spans", F.array().cast("array<struct<first:long,end:long>>")).alias("spans"))
-    schema = f"rec {keyed.schema['rec'].dataType.simpleString()}, n_words long, n_removed long, kept string, cleaned string, kept_sha256 string"
-    return joined.mapInArrow(_cut, schema)
+    t = Safe(docs, without(docs, text_col) if keep is None else keep)
+    text = F.coalesce(t.col(text_col), F.lit(""))
+    keyed = t.rows.select(*row_keys(t.rows, t.col(id_col), text), text.alias("text"), t.rec)
+    spans = repeated_spans(keyed, window, minimiser, share).groupBy("key", "uid", "sum").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
+    joined = keyed.join(spans.hint("shuffle_hash"), ["key", "uid", "sum"], "left").select("rec", "text", F.coalesce("spans", F.array().cast("array<struct<first:long,end:long>>")).alias("spans"))
+    return t.out(joined.mapInArrow(_cut, t.schema("n_words long, n_removed long, kept string, cleaned string, kept_sha256 string")))

@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ramus.llm.arrowtext import binary_array, chunks, flat, ints
+from ramus.llm.shared import Safe
 from ramus.operators.sequences import scan
 from ramus.operators.storage import Tables, fresh_path
 
@@ -290,8 +291,9 @@ def write_tokens(docs: DataFrame, where: str, tokenizer: str, vocabulary: int, e
     are ordered by a hash of their text. A string of a special token in a text becomes
     that token's id, as in a plain call of the tokenizer.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tie"))
+    t = Safe(docs)
+    text = F.coalesce(t.col(text_col), F.lit(""))
+    base = t.rows.select(t.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tie"))
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     dealt = base.repartitionByRange(max(1, -(-size // shard_bytes)), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     bits = bits_for(vocabulary)

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ramus.llm.arrowtext import LOWER_ALNUM, Words, binary_array, chunks, flat, hashes, mix
 from ramus.llm.labelled import training_texts
+from ramus.llm.shared import Safe, without
 from ramus.operators.storage import Tables
 
 #: Labelled rows that the model is fitted on at most; texts of the sample that a word must be in.
@@ -167,9 +168,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     Without labels, or toxic ones, all texts are of grade 0. Input columns may have
     any names; an empty table gives no rows. Scoring is a projection.
     """
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(learn(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")), labels.select(labels[id_col].alias("doc_id"), labels[label]), label, bound))
-    keep = [c for c in docs.columns if c != text_col] if keep is None else keep
-    base = docs.select(F.struct(*keep).alias("rec"), docs[text_col].alias("text"))
-    scored = base.mapInArrow(lambda b: _score(b, model.value), f"rec {base.schema['rec'].dataType.simpleString()}, p_toxic double, severity double, grade int")
-    return scored.withColumn("toxic", F.col("p_toxic") >= cut)
+    spark, t, mark = docs.sparkSession, Safe(docs, without(docs, text_col) if keep is None else keep), Safe(labels)
+    model = spark.sparkContext.broadcast(learn(t.rows.select(t.col(id_col).alias("doc_id"), t.col(text_col).alias("text")), mark.rows.select(mark.col(id_col).alias("doc_id"), mark.col(label).alias("label")), "label", bound))
+    base = t.rows.select(t.rec, t.col(text_col).alias("text"))
+    scored = base.mapInArrow(lambda b: _score(b, model.value), t.schema("p_toxic double, severity double, grade int"))
+    return t.out(scored).withColumn("toxic", F.col("p_toxic") >= cut)
