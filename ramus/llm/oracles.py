@@ -82,5 +82,32 @@ SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank F
 """
 
 
+OP12 = r"""
+WITH RECURSIVE raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+-- crc32 by its bits over the bytes of short ASCII keys.
+crc AS (SELECT DISTINCT k, 4294967295::BIGINT AS c, 0 AS j FROM raw
+  UNION ALL
+  SELECT k, list_reduce([xor(c, ascii(k[j + 1])::BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN (x & 1) = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END), j + 1 FROM crc WHERE j < len(k)),
+code AS (SELECT k, xor(c, 4294967295) % 20 AS d FROM crc WHERE j = len(k)),
+hurt AS (SELECT conv_id, turn, CASE d WHEN 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE d WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM raw JOIN code USING (k) WHERE d <> 0),
+num AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM hurt),
+told AS (SELECT *, left(role, 1) AS r, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+  CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE '' END AS fault FROM num),
+stat AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+  count(*) FILTER (before IS NOT NULL AND before || r NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM told GROUP BY conv_id),
+-- Edits by the state before: 0 nothing, 1 system, 2 user, 3 assistant; insertions before a row lead from x to y.
+ins(x, y, l, c, t) AS (VALUES (0, 0, '', 0, ''), (1, 1, '', 0, ''), (2, 2, '', 0, ''), (3, 3, '', 0, ''), (0, 2, 'I', 5, chr(10) || 'user:'), (1, 2, 'I', 5, chr(10) || 'user:'), (3, 2, 'I', 5, chr(10) || 'user:'), (2, 3, 'I', 5, chr(10) || 'assistant:'), (0, 3, 'II', 10, chr(10) || 'user:' || chr(10) || 'assistant:'), (1, 3, 'II', 10, chr(10) || 'user:' || chr(10) || 'assistant:')),
+edit AS (SELECT conv_id, i, x, x AS y, 'D' AS l, 2 AS c, '' AS t FROM told, range(4) s(x)
+  UNION ALL SELECT conv_id, i, x, y, 'K', CASE fault WHEN 't' THEN 5 ELSE 0 END, chr(10) || role || ':' || text FROM told JOIN (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)) k(x, r, y) USING (r) WHERE fault IN ('', 't')
+  UNION ALL SELECT conv_id, i, x, y, 'R', CASE fault WHEN 't' THEN 6 ELSE 1 END, chr(10) || n || ':' || text FROM told, (VALUES (0, 'user', 2), (1, 'user', 2), (3, 'user', 2), (2, 'assistant', 3)) k(x, n, y) WHERE fault IN ('', 't')),
+way AS (SELECT conv_id, 0 AS i, 0 AS y, {'c': 0, 'l': '', 't': ''} AS b FROM stat
+  UNION ALL
+  SELECT w.conv_id, w.i + 1, e.y, min({'c': w.b.c + ins.c + e.c, 'l': w.b.l || ins.l || e.l, 't': w.b.t || ins.t || e.t}) FROM way w JOIN ins ON ins.x = w.y JOIN edit e ON e.conv_id IS NOT DISTINCT FROM w.conv_id AND e.i = w.i + 1 AND e.x = ins.y GROUP BY w.conv_id, w.i, e.y),
+best AS (SELECT w.conv_id, min({'c': w.b.c + ins.c, 'l': w.b.l || ins.l, 't': w.b.t || ins.t}) AS b FROM way w JOIN stat s ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND s.n = w.i JOIN ins ON ins.x = w.y WHERE ins.y IN (0, 3) GROUP BY w.conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(b.c, 0)::BIGINT AS cost, coalesce(b.l, '') AS audit, sha256(coalesce(b.t[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN stat s ON s.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN best z ON z.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1, "op4_decontaminate": OP4, "op8_quality_rules": OP8, "op11_source_divergence": OP11}
+    return {"op1_substring_dedup": OP1, "op4_decontaminate": OP4, "op8_quality_rules": OP8, "op11_source_divergence": OP11, "op12_conversation_repair": OP12}

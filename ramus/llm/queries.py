@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ramus.llm.conversation_repair import conversation_repair
 from ramus.llm.decontaminate import decontaminate
 from ramus.llm.license_scan import license_scan
 from ramus.llm.lm_score import lm_score
@@ -75,6 +76,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(_table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
-    found = (op1_substring_dedup, op2_token_files, op3_license_scan, op4_decontaminate, op5_sentencepiece, op6_lm_score, op7_near_dedup, op8_quality_rules, op9_quality_knn, op10_toxicity, op11_source_divergence)
+    found = (op1_substring_dedup, op2_token_files, op3_license_scan, op4_decontaminate, op5_sentencepiece, op6_lm_score, op7_near_dedup, op8_quality_rules, op9_quality_knn, op10_toxicity, op11_source_divergence, op12_conversation_repair)
     return {f.__name__: f for f in found}
