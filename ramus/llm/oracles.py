@@ -109,5 +109,19 @@ FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN stat s ON s.conv_i
 """
 
 
+OP13 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT doc_id, i, md5_number(h[2 * i + 1:2 * i + 200]) AS k FROM (SELECT doc_id, h, unnest(range(len(h) // 2 - 99)) AS i FROM d WHERE len(h) >= 200)),
+early AS (SELECT k, min({'d': doc_id, 'i': i}) AS e FROM win GROUP BY k HAVING count(*) > 1),
+late AS (SELECT doc_id, i FROM win JOIN early USING (k) WHERE {'d': doc_id, 'i': i} > e),
+-- Windows no more than 100 bytes apart cover one run.
+island AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS new FROM late)),
+run AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM island GROUP BY doc_id, g),
+part AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM run),
+kept AS (SELECT p.doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(h[2 * before + 1:2 * a], '' ORDER BY a) || any_value(h)[2 * max(b) + 1:] AS t FROM part p JOIN d USING (doc_id) GROUP BY p.doc_id)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(t, h))) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1, "op4_decontaminate": OP4, "op8_quality_rules": OP8, "op11_source_divergence": OP11, "op12_conversation_repair": OP12}
+    return {"op1_substring_dedup": OP1, "op4_decontaminate": OP4, "op8_quality_rules": OP8, "op11_source_divergence": OP11, "op12_conversation_repair": OP12, "op13_suffix_dedup": OP13}

@@ -14,6 +14,7 @@ from ramus.llm.quality_rules import quality_rules
 from ramus.llm.sentencepiece_codec import sentencepiece_codec
 from ramus.llm.source_divergence import source_divergence
 from ramus.llm.substring_dedup import substring_dedup
+from ramus.llm.suffix_dedup import suffix_dedup
 from ramus.llm.token_files import token_output
 from ramus.llm.toxicity import toxicity
 
@@ -80,6 +81,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair(_table(spark, sf_dir, "conversations"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(_table(spark, sf_dir, "documents"), keep=["doc_id"]).select("rec.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def queries() -> dict:
-    found = (op1_substring_dedup, op2_token_files, op3_license_scan, op4_decontaminate, op5_sentencepiece, op6_lm_score, op7_near_dedup, op8_quality_rules, op9_quality_knn, op10_toxicity, op11_source_divergence, op12_conversation_repair)
+    found = (op1_substring_dedup, op2_token_files, op3_license_scan, op4_decontaminate, op5_sentencepiece, op6_lm_score, op7_near_dedup, op8_quality_rules, op9_quality_knn, op10_toxicity, op11_source_divergence, op12_conversation_repair, op13_suffix_dedup)
     return {f.__name__: f for f in found}
