@@ -41,6 +41,8 @@ from ramus.llm.substring_dedup import _pack, _unpack
 PART_BYTES, BLOCK, BUCKET_BYTES = 8 << 20, 2 << 20, 8 << 20
 #: Minimisers of one bucket, and windows of one string at most (a run of one byte has one minimiser all along).
 BUCKET_GRAMS, STRING_WINDOWS = 4 << 20, 1024
+#: Strings of a bucket that are indexed at once; one minimiser's stay together.
+BATCH_BYTES = 2 << 20
 LOW = np.uint64((1 << 48) - 1)
 _ODD = 0xD6E8FEB86659FD93
 _KEYS = ["key", "uid", "sum"]
@@ -284,63 +286,81 @@ def marked(key: np.ndarray, ident: np.ndarray, start: np.ndarray, raw: np.ndarra
     out = [(np.flatnonzero(late), np.zeros(late.sum(), np.int64), length[text[late]])]
     rest = np.flatnonzero(~late & ~same_place)
     # Strings by minimiser; of strings with one minimiser that no other string has, nothing is left to find.
-    hashed = grams(raw, gram)
-    valid = np.ones(len(hashed), bool)
-    for k in range(1, gram):
-        valid[(offsets[1:] - k)[offsets[1:] - k < len(hashed)]] = False
-    masked = np.where(valid, hashed, np.uint64(0xFFFFFFFFFFFFFFFF))
-    least = np.minimum.reduceat(masked, offsets[:-1])
-    many = np.add.reduceat((masked == np.repeat(least, length)[: len(masked)]).astype(np.int64), offsets[:-1]) > 1
+    least, many = _minimisers(raw, offsets, gram)
     group = pd.factorize(least)[0]
-    open_ = (np.bincount(group)[group] > 1) | many
-    if open_.any():
-        chosen = np.flatnonzero(open_)
-        order = chosen[np.lexsort((chosen, earliest[chosen], group[chosen]))]
-        lead = np.ones(len(order), bool)
-        lead[1:] = group[order][1:] != group[order][:-1]
-        sub_raw, sub_offsets = _picked(raw, offsets, order)
-        index = Index(*_picked(raw, offsets, order[lead]), window)
-        classes = index.stream(sub_raw, sub_offsets, window)
-        starts = _window_starts(sub_offsets, window)
-        missed = starts & (classes < 0)
-        if missed.any():
-            novel = np.flatnonzero(np.add.reduceat(missed.astype(np.int64), sub_offsets[:-1]) > 0)
-            more_raw, more_offsets = _picked(sub_raw, sub_offsets, novel)
-            second = Index(more_raw, more_offsets, window).stream(more_raw, more_offsets, window)
-            at = np.repeat(sub_offsets[novel], np.diff(more_offsets)) + np.arange(len(more_raw)) - np.repeat(more_offsets[:-1], np.diff(more_offsets))
-            fill = missed[at]
-            classes[at[fill]] = second[fill] + len(index.text)
-        # Windows of each occurrence of these strings.
-        of = np.full(len(length), -1)
-        of[order] = np.arange(len(order))
-        occ = rest[of[text[rest]] >= 0]
-        s = of[text[occ]]
-        n = np.diff(sub_offsets)[s] - window + 1
-        owner = np.repeat(np.arange(len(occ)), n)
-        offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        label = classes[sub_offsets[s][owner] + offset]
-        where = start[occ][owner] + offset
-        k, i = key[occ][owner], ident[occ][owner]
-        by = np.lexsort((where, i, k, label))
-        head = np.flatnonzero(np.diff(label[by], prepend=-1))
-        least_key = np.repeat(k[by][head], np.diff(np.append(head, len(by))))
-        later = k[by] > least_key
-        own = np.zeros(len(by), bool)
-        own[1:] = (label[by][1:] == label[by][:-1]) & (k[by][1:] == k[by][:-1]) & (i[by][1:] == i[by][:-1])
-        # The first place of the row in this class: what follows at a larger place is late.
-        begin = np.maximum.accumulate(np.where(own, 0, np.arange(len(by))))
-        later |= where[by] > where[by][begin]
-        flag = np.zeros(len(by), bool)
-        flag[by] = later
-        at = np.flatnonzero(flag)
-        if len(at):
-            new = np.ones(len(at), bool)
-            new[1:] = (np.diff(at) != 1) | (owner[at][1:] != owner[at][:-1])
-            a, b = at[new], at[np.append(np.flatnonzero(new)[1:] - 1, len(at) - 1)]
-            out.append((occ[owner[a]], offset[a], offset[b] + window))
+    chosen = np.flatnonzero((np.bincount(group)[group] > 1) | many)
+    order = chosen[np.lexsort((chosen, earliest[chosen], group[chosen]))]
+    # Equal windows have equal minimisers, so groups are indexed apart, some at a time.
+    lead = np.ones(len(order), bool)
+    lead[1:] = group[order][1:] != group[order][:-1]
+    heads = np.flatnonzero(lead)
+    batch = np.cumsum(length[order])[np.append(heads[1:], len(order)) - 1] // BATCH_BYTES if len(order) else heads
+    cuts = heads[np.flatnonzero(np.diff(batch, prepend=-1))].tolist()
+    for a, b in zip(cuts, [*cuts[1:], len(order)]):
+        out.append(_late_windows(key, ident, start, text, rest, raw, offsets, order[a:b], lead[a:b], window))
     return tuple(np.concatenate([o[j] for o in out]) for j in range(3))
 
 
+def _minimisers(raw: np.ndarray, offsets: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least hash of each string's grams, and whether it stands there more than once; some strings at a time."""
+    least, many = [], []
+    cuts = np.searchsorted(offsets, np.arange(0, offsets[-1], BATCH_BYTES))
+    for a, b in zip(cuts, [*cuts[1:], len(offsets) - 1]):
+        if a == b:
+            continue
+        own = offsets[a : b + 1] - offsets[a]
+        hashed = grams(raw[offsets[a] : offsets[b]], gram)
+        for k in range(1, gram):
+            hashed[(own[1:] - k)[own[1:] - k < len(hashed)]] = 0xFFFFFFFFFFFFFFFF
+        low = np.minimum.reduceat(hashed, own[:-1])
+        least.append(low)
+        many.append(np.add.reduceat((hashed == np.repeat(low, np.diff(own))[: len(hashed)]).astype(np.int64), own[:-1]) > 1)
+    return (np.concatenate(least), np.concatenate(many)) if least else (np.empty(0, np.uint64), np.empty(0, bool))
+
+
+def _late_windows(key: np.ndarray, ident: np.ndarray, start: np.ndarray, text: np.ndarray, rest: np.ndarray, raw: np.ndarray, offsets: np.ndarray, order: np.ndarray, lead: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of late windows among the occurrences ``rest`` of the strings ``order``, of which ``lead`` are indexed first."""
+    sub_raw, sub_offsets = _picked(raw, offsets, order)
+    index = Index(*_picked(raw, offsets, order[lead]), window)
+    classes = index.stream(sub_raw, sub_offsets, window)
+    missed = _window_starts(sub_offsets, window) & (classes < 0)
+    if missed.any():
+        novel = np.flatnonzero(np.add.reduceat(missed.astype(np.int64), sub_offsets[:-1]) > 0)
+        more_raw, more_offsets = _picked(sub_raw, sub_offsets, novel)
+        second = Index(more_raw, more_offsets, window).stream(more_raw, more_offsets, window)
+        at = np.repeat(sub_offsets[novel] - more_offsets[:-1], np.diff(more_offsets)) + np.arange(len(more_raw))
+        fill = missed[at]
+        classes[at[fill]] = second[fill] + len(index.text)
+    # Windows of each occurrence of these strings.
+    of = np.full(len(offsets) - 1, -1)
+    of[order] = np.arange(len(order))
+    occ = rest[of[text[rest]] >= 0]
+    s = of[text[occ]]
+    n = np.diff(sub_offsets)[s] - window + 1
+    owner = np.repeat(np.arange(len(occ)), n)
+    offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    label = classes[sub_offsets[s][owner] + offset]
+    where = start[occ][owner] + offset
+    k, i = key[occ][owner], ident[occ][owner]
+    by = np.lexsort((where, i, k, label))
+    label, where, k, i = label[by], where[by], k[by], i[by]
+    head = np.flatnonzero(np.diff(label, prepend=-1))
+    later = k > np.repeat(k[head], np.diff(np.append(head, len(by))))
+    own = np.zeros(len(by), bool)
+    own[1:] = (label[1:] == label[:-1]) & (k[1:] == k[:-1]) & (i[1:] == i[:-1])
+    # The first place of a row in a class: what follows at a larger place is late.
+    later |= where > where[np.maximum.accumulate(np.where(own, 0, np.arange(len(by))))]
+    flag = np.zeros(len(by), bool)
+    flag[by] = later
+    at = np.flatnonzero(flag)
+    if not len(at):
+        return tuple(np.empty(0, np.int64) for _ in range(3))
+    new = np.ones(len(at), bool)
+    new[1:] = (np.diff(at) != 1) | (owner[at][1:] != owner[at][:-1])
+    a, b = at[new], at[np.append(np.flatnonzero(new)[1:] - 1, len(at) - 1)]
+    return occ[owner[a]], offset[a], offset[b] + window
+
+
 def _window_starts(offsets: np.ndarray, window: int) -> np.ndarray:
     starts = np.ones(offsets[-1], bool)
     for k in range(1, window):
