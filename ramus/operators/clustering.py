@@ -9,8 +9,10 @@ at a time; n points take some tens of rounds. What a method has to keep between
                   it or its owner merges, and only the others are looked for again
     single        the minimum spanning tree of the points by Boruvka rounds, whose n - 1
                   edges are all the pairs that single linkage needs
-    complete, avg pairs(i < j, m): largest or mean distance of the members, relabelled
-                  and aggregated by the two new ids each round
+    complete, avg clusters(cid, n, centroid, var, radius) and the members in chunks, both
+                  linear; the linkage is made for the candidates that these bound
+
+Pairs that are given (:func:`hac_pairs`) are relabelled and aggregated each round.
 
 Once few clusters are left (``finish``, a fixed bound), their small matrix is finished
 in one task, which saves the rounds' scheduling.
@@ -25,12 +27,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ramus.operators.spatial import checked, core_distance, knn, nearest_clusters, pair_distances
+from ramus.operators.boxes import candidates, spanning_tree_by_boxes
+from ramus.operators.linkage import hac_members
+from ramus.operators.spatial import BLOCK_ROWS, PRUNE_BLOCKS, checked, core_distance, knn, pair_distances
 from ramus.operators.storage import Tables, cut
 
 METHODS = ("complete", "ward", "avg", "avgsq", "single")
 ALIASES = {"average": "avg", "average-sqeuclidean": "avgsq", "dummy": "avg"}
 FINISH = 1024
+#: complete and avg: up to so many clusters have a table of their pairs (8 million rows).
+MATRIX = 4096
 #: Tables of a row for each cluster are broadcast up to so many clusters (a counted number); beyond it joins shuffle.
 BROADCAST_CLUSTERS = 200_000
 MERGES = "round long, lo long, hi long, height double, size long"
@@ -55,14 +61,15 @@ def _combined(method: str) -> Column:
     return F.sum(F.col("m") * F.col("w")) / F.sum("w")
 
 
-def hac_pairs(pairs: DataFrame, ids: DataFrame, method: str, finish: int = FINISH) -> DataFrame:
-    """Merges (round, lo, hi, height, size) from distances. pairs: i < j, m (squared for ward and avgsq); ids: id."""
+def hac_pairs(pairs: DataFrame, ids: DataFrame, method: str, finish: int = FINISH, round_no: int = 0) -> DataFrame:
+    """Merges (round, lo, hi, height, size) from distances. pairs: i < j, m (squared for ward and avgsq); ids: id, or
+    clusters (cid, n, var) after ``round_no`` rounds."""
     method = method_of(method)
     spark = pairs.sparkSession
     store = Tables(spark, "hac")
     pairs = store.put("pairs", pairs.select("i", "j", "m"))
-    clusters = store.put("clusters", ids.select(F.col("id").alias("cid"), F.lit(1).cast("long").alias("n"), F.lit(0.0).alias("var")))
-    left, out, round_no = clusters.count(), [], 0
+    clusters = store.put("clusters", ids.select("cid", "n", "var") if "cid" in ids.columns else ids.select(F.col("id").alias("cid"), F.lit(1).cast("long").alias("n"), F.lit(0.0).alias("var")))
+    left, out = clusters.count(), []
     while left > max(finish, 1):
         round_no += 1
         small = F.broadcast if left <= BROADCAST_CLUSTERS else (lambda df: df)
@@ -154,7 +161,8 @@ def hac_centroids(points: DataFrame, method: str, finish: int = FINISH) -> DataF
     left, out, round_no, again = clusters.count(), [], 0, False
     while left > max(finish, 1):
         round_no += 1
-        found = nearest_clusters(clusters.withColumn("stale", F.lit(True) if again else F.col("nn").isNull()), method)
+        stale = F.lit(True) if again else F.col("nn").isNull()
+        found = candidates(clusters.withColumns({"stale": stale, "r": F.lit(0.0)}), method).groupBy("id").agg(F.min(F.struct("low", "nn")).alias("s")).select("id", "s.nn", F.col("s.low").alias("d"))
         fresh = clusters.select("id", "v", "n", "var", *([] if again else [F.col("nn").alias("_nn"), F.col("d").alias("_d")])).join(found, "id", "left")
         known = store.put("known", fresh if again else fresh.withColumns({"nn": F.coalesce("_nn", "nn"), "d": F.coalesce("_d", "d")}).drop("_nn", "_d"))
         a = known.select(F.col("id").alias("lo"), F.col("nn").alias("hi"), F.col("d").alias("height"), F.col("n").alias("na"), F.col("v").alias("ca"), F.col("var").alias("va")).filter("lo < hi")
@@ -188,12 +196,13 @@ def hac_centroids(points: DataFrame, method: str, finish: int = FINISH) -> DataF
     return result
 
 
-def hac(points: DataFrame, method: str, id_col: str = "id", v_col: str = "v", finish: int = FINISH) -> DataFrame:
+def hac(points: DataFrame, method: str, id_col: str = "id", v_col: str = "v", finish: int = FINISH, matrix: int = MATRIX) -> DataFrame:
     """Merges of all points: round, lo and hi (cluster ids, the largest of their points'), height, size.
 
     avgsq heights are squared distances. No points, or one, give no merges. Ties go to
     the smaller neighbour id, in single linkage to the spanning tree's edge. Ids must
-    be unique.
+    be unique. finish: clusters that one task finishes; matrix: clusters whose pairs
+    complete and avg hold in a table, more of them are clustered by their members.
     """
     method = method_of(method)
     points = cut(checked(points, id_col, v_col), "points")
@@ -201,7 +210,13 @@ def hac(points: DataFrame, method: str, id_col: str = "id", v_col: str = "v", fi
         return hac_centroids(points, method, finish)
     if method == "single":
         return hac_pairs(spanning_tree(points).select(F.col("u").alias("i"), F.col("v").alias("j"), F.col("w").alias("m")), points.select("id"), "single", finish)
-    return hac_pairs(pair_distances(points).withColumnRenamed("d", "m"), points.select("id"), method, finish)
+    if points.count() <= matrix:
+        return hac_pairs(pair_distances(points).withColumnRenamed("d", "m"), points.select("id"), method, finish)
+    out, clusters, pairs, round_no = hac_members(points, method, matrix)
+    result = points.sparkSession.createDataFrame([], MERGES) if pairs is None else hac_pairs(pairs, clusters, method, finish, round_no)
+    for part in out:
+        result = result.unionByName(part)
+    return result
 
 
 def hdbscan_merges(points: DataFrame, min_pts: int = 2, finish: int = FINISH) -> DataFrame:
@@ -290,8 +305,11 @@ def spanning_tree(points: DataFrame, core: str | None = None) -> DataFrame:
     """u < v, w: the minimum spanning tree of points (id, v), with no table of their pairs.
 
     Boruvka rounds: each point's nearest one of another component (with ``core``, by mutual
-    reachability), the least of them for each component, and contraction.
+    reachability), the least of them for each component, and contraction. Many points are
+    searched by boxes.
     """
+    if points.count() > PRUNE_BLOCKS * BLOCK_ROWS:
+        return spanning_tree_by_boxes(points, core)
     store, found = Tables(points.sparkSession, "tree"), []
     label = store.put("label", points.select("id", F.col("id").alias("label")))
     out = None

@@ -6,8 +6,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from ramus.operators import boxes as B
 from ramus.operators import clustering as C
 from ramus.operators import dendrogram as D
+from ramus.operators import linkage as L
 from ramus.operators import spatial as P
 
 SIX = [(0, [0.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0]), (4, [0.0, 0.0]), (5, [5.0, 5.0])]
@@ -28,8 +30,6 @@ def points(spark, rows):
 @pytest.mark.parametrize("method", list(HEIGHTS))
 @pytest.mark.parametrize("finish", [1, 256])
 def test_six_points(spark, method, finish):
-    if finish == 1 and method in ("avg", "complete"):
-        pytest.skip("the other two take the distributed rounds")
     got = sorted((r.round, r.height, r.lo, r.hi, r.size) for r in C.hac(points(spark, SIX), method, finish=finish).collect())
     assert sorted((a, b, c) for _, _, a, b, c in got) == sorted(MERGES)
     by = {(lo, hi): h for _, h, lo, hi, _ in got}
@@ -40,7 +40,7 @@ def test_six_points(spark, method, finish):
 def test_rounds_equal_the_finish(spark):
     r = random.Random(4)
     table = points(spark, [(i, [r.random() for _ in range(3)]) for i in range(60)])
-    for method in ("avg", "single"):
+    for method in ("complete", "avg", "single"):
         far, near = ({(x.lo, x.hi): x.height for x in C.hac(table, method, finish=f).collect()} for f in (20, 256))
         assert far.keys() == near.keys() and all(far[k] == pytest.approx(near[k]) for k in far)
 
@@ -116,3 +116,40 @@ def test_block_pairs_cover_all(spark):
 
     got = {(x.i, x.j) for x in P.by_block_pairs(table, all_pairs, "i long, j long", 7).collect()}
     assert got == set(itertools.combinations(range(40), 2))
+
+
+@pytest.mark.parametrize("method,dims,blocks", [("complete", 2, {"block_rows": 16, "prune_blocks": 1}), ("avg", 3, {"block_rows": 16, "prune_blocks": 1}), ("avg", 6, {})])
+def test_members_equal_the_matrix(spark, method, dims, blocks):
+    """Rounds by members and bounds, with and without boxes, against the matrix; copies and ties among the points."""
+    r = random.Random(dims)
+    rows = [(i, [r.choice([0.0, 1.0, 5.0]) + r.random() for _ in range(dims)]) for i in range(110)]
+    rows += [(200 + i, rows[i % 3][1]) for i in range(6)] + [(300 + i, [float(i % 3)] + [0.0] * (dims - 1)) for i in range(6)]
+    table = points(spark, rows)
+    want = sorted((x.height, x.size) for x in C.hac(table, method).collect())
+    out, clusters, pairs, round_no = L.hac_members(P.checked(table), method, 45, **blocks)
+    assert round_no >= 2 and clusters.count() <= 45 and pairs.count() == clusters.count() * (clusters.count() - 1) // 2
+    got = sorted((x.height, x.size) for part in [*out, C.hac_pairs(pairs, clusters, method, 256, round_no)] for x in part.collect())
+    assert len(got) == len(want) and all(a[0] == pytest.approx(b[0], abs=1e-9) for a, b in zip(got, want))
+
+
+@pytest.mark.parametrize("core", [None, "core"])
+def test_spanning_tree_by_boxes(spark, core):
+    """The same edges as with all blocks, and far fewer rows sent than points x blocks."""
+    r = random.Random(7)
+    table = points(spark, [(i, [r.gauss(r.choice([0, 6, 20]), 1), r.gauss(0, 1)]) for i in range(300)] + [(600 + i, [1.5, 0.5]) for i in range(20)])
+    table = table.join(P.core_distance(table, 3), "id") if core else table
+    want = sorted((x.w, x.u, x.v) for x in C.spanning_tree(table, core).collect())
+    got = sorted((x.w, x.u, x.v) for x in B.spanning_tree_by_boxes(table, core, block_rows=16).collect())
+    assert len(got) == 319 and sum(x[0] for x in got) == pytest.approx(sum(x[0] for x in want))
+    if not core:
+        assert [x[1:] for x in got] == [x[1:] for x in want]
+
+
+@pytest.mark.parametrize("method", ["ward", "avgsq"])
+def test_nearest_cluster_by_boxes(spark, method):
+    r = random.Random(9)
+    rows = [(i, [r.random(), r.random()], r.choice([1, 1, 2, 9]), r.random() * 0.01, 0.2, i % 3 > 0) for i in range(400)]
+    table = spark.createDataFrame(rows, "id long, v array<double>, n long, var double, r double, stale boolean")
+    least = lambda df: {x.id: (x.s.nn, x.s.low) for x in df.groupBy("id").agg(F.min(F.struct("low", "nn")).alias("s")).collect()}
+    want = least(B.candidates(table, method))
+    assert least(B.candidates(table, method, block_rows=16, prune_blocks=2)) == want and len(want) == sum(x[5] for x in rows)
