@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ramus.functions import vectors as V
+from ramus.operators.boxes import candidates as cluster_candidates, spanning_tree_by_boxes
 from ramus.operators import clustering as C
 from ramus.operators import dendrogram as D
 from ramus.operators import graphs as G
@@ -187,6 +188,27 @@ def _prim(points: str, d: str, first: str = "") -> str:
 query(f"SELECT n::BIGINT AS n_merges, round(weight, 6) AS cost FROM ({_prim(f'SELECT id, v FROM {E}', DIST)})")(_hac_cost("single"))
 
 
+@query(f"SELECT n::BIGINT AS n_edges, round(weight, 6) AS weight FROM ({_prim(f'SELECT id, v FROM {E}', DIST)})")
+def mst_by_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spanning tree by the search that only near boxes of 64 points meet in."""
+    tree = spanning_tree_by_boxes(points(spark, sf_dir), block_rows=64)
+    return tree.agg(F.count("*").alias("n_edges"), F.round(F.sum("w"), 6).alias("weight"))
+
+
+def _nearest_by(method: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        one = points(spark, sf_dir).select("id", "v", F.lit(1).cast("long").alias("n"), F.lit(0.0).alias("var"), F.lit(0.0).alias("r"), F.lit(True).alias("stale"))
+        found = cluster_candidates(one, method, block_rows=64, prune_blocks=1).groupBy("id").agg(F.min(F.struct("low", "nn")).alias("s"))
+        return found.select("id", "s.nn", F.round("s.low", 6).alias("d"))
+
+    run.__name__ = f"nearest_cluster_by_boxes_{method}"
+    return run
+
+
+for _m, _d in (("ward", "d"), ("avgsq", "d * d"), ("complete", "d")):
+    query(f"SELECT i AS id, first(j ORDER BY d, j) AS nn, round(min({_d}), 6) AS d FROM ({BOTH}) GROUP BY i")(_nearest_by(_m))
+
+
 @query()
 def hac_complete_dendrogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir)
@@ -465,12 +487,11 @@ def graph_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adj.select("u", "degree", F.aggregate("neighbours", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
 
 
-@query(f"SELECT r.range AS row, coalesce(sum(count(e.v)) OVER (ORDER BY r.range {_U} 1 PRECEDING), 0)::BIGINT AS start FROM (SELECT unnest(range(greatest(3000, (SELECT max(u) + 1 FROM ({SYM}))))) AS range) r LEFT JOIN ({SYM}) e ON e.u = r.range GROUP BY r.range")
+@query(f"SELECT r.range AS row, coalesce(sum(count(e.v)) OVER (ORDER BY r.range {_U} 1 PRECEDING), 0)::BIGINT AS start FROM (SELECT unnest(range((SELECT max(u) + 1 FROM ({SYM})))) AS range) r LEFT JOIN ({SYM}) e ON e.u = r.range GROUP BY r.range")
 def csr_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = G.symmetric(_edges(spark, sf_dir))
-    # A row for each vertex of the data, and for the SQL's ids.
     last = e.agg(F.max("u")).first()[0]
-    return G.csr_offsets(e, max(3000, 0 if last is None else last + 1))
+    return G.csr_offsets(e, 0 if last is None else last + 1)
 
 
 @query(SYM)
@@ -485,14 +506,14 @@ def weights_by_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.groupBy("u", "v", "w").agg(F.count("*").alias("n")).drop("w")
 
 
-_MESH = "(SELECT o_orderkey AS t, o_custkey % 40 AS a, 40 + o_orderkey % 41 AS b, 81 + (o_orderkey * 7 + o_custkey) % 43 AS c FROM orders WHERE o_orderkey % 10 = 0)"
+# A strip of triangles over all orders.
+_MESH = "(SELECT o_orderkey AS t, o_orderkey AS a, o_orderkey + 1 AS b, o_orderkey + 2 AS c FROM orders)"
 
 
 @query(f"WITH s AS (SELECT t, a AS p, b AS q FROM {_MESH} UNION ALL SELECT t, b, c FROM {_MESH} UNION ALL SELECT t, a, c FROM {_MESH}) SELECT DISTINCT x.t, y.t AS other FROM s x JOIN s y ON x.p = y.p AND x.q = y.q AND x.t <> y.t")
 def mesh_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o, k = table(spark, sf_dir, "orders").filter("o_orderkey % 10 = 0"), F.col("o_orderkey")
-    mesh = o.select(k.alias("t"), (F.col("o_custkey") % 40).alias("a"), (40 + k % 41).alias("b"), (81 + (k * 7 + F.col("o_custkey")) % 43).alias("c"))
-    return G.triangle_neighbours(mesh)
+    k = F.col("o_orderkey")
+    return G.triangle_neighbours(table(spark, sf_dir, "orders").select(k.alias("t"), k.alias("a"), (k + 1).alias("b"), (k + 2).alias("c")))
 
 
 @query("SELECT l_suppkey AS row, round(sum(l_quantity * p_retailprice), 4) AS value FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1")
