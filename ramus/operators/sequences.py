@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ramus.operators.storage import cut
+from ramus.operators.storage import Tables, cut
 
 BLOCK = 1 << 14
 
@@ -112,17 +112,29 @@ def random_order(df: DataFrame, key: str, seed: int = 0, name: str = "pos") -> D
     return with_rank(df.withColumn("_r", F.xxhash64(F.lit(seed), F.col(key))), ["_r", key], name).drop("_r")
 
 
-def range_min(queries: DataFrame, seq: DataFrame, lo: str, hi: str, pos: str, value: str, block: int = 256) -> DataFrame:
+def range_min(queries: DataFrame, seq: DataFrame, lo: str, hi: str, pos: str, value: str, fan: int = 16) -> DataFrame:
     """For each query the position of the least value in [lo, hi], the first of equals.
 
-    Whole blocks inside a range answer from their minimum; only the two blocks at
-    its ends are looked at row by row. Both are equi-joins on block numbers.
+    Levels of blocks: a block of the next level holds the least of ``fan`` of this one. On each level a
+    query looks at its two end blocks alone and hands on what lies between them, so it
+    meets about 2 fan rows on each of log(n) levels, by equi-joins on block numbers.
+    Ranges without a position give no row.
     """
-    tagged = seq.select(F.col(pos).alias("_pos"), F.col(value).alias("_v")).withColumn("_b", F.floor(F.col("_pos") / block))
-    best = F.min(F.struct(F.col("_v"), F.col("_pos"))).alias("_m")
-    blocks = tagged.groupBy("_b").agg(best)
-    own = queries.withColumn("_lo", F.floor(F.col(lo) / block)).withColumn("_hi", F.floor(F.col(hi) / block))
-    inner = own.filter("_hi - _lo > 1").withColumn("_b", F.explode(F.sequence(F.col("_lo") + 1, F.col("_hi") - 1))).join(blocks, "_b").select(*queries.columns, "_m")
-    ends = own.withColumn("_b", F.explode(F.array_distinct(F.array("_lo", "_hi")))).join(tagged, "_b").filter((F.col("_pos") >= F.col(lo)) & (F.col("_pos") <= F.col(hi)))
-    ends = ends.select(*queries.columns, F.struct("_v", "_pos").alias("_m"))
-    return inner.union(ends).groupBy(*queries.columns).agg(F.min("_m").alias("_m")).select(*queries.columns, F.col("_m._pos").alias("pos"), F.col("_m._v").alias("value"))
+    store, names = Tables(seq.sparkSession, "range-min"), queries.columns
+    level = seq.select(F.col(pos).cast("long").alias("_at"), F.struct(F.col(value).alias("_v"), F.col(pos).alias("_pos")).alias("_m"))
+    span = level.agg(F.min("_at"), F.max("_at")).first()
+    width = 0 if span[0] is None else span[1] - span[0] + 1
+    asks = queries.withColumns({"_lo": F.col(lo).cast("long"), "_hi": F.col(hi).cast("long")}).filter("_lo <= _hi")
+    found, depth = None, 0
+    while True:
+        own = level.withColumn("_b", F.floor(F.col("_at") / fan))
+        ranged = asks.withColumns({"_bl": F.floor(F.col("_lo") / fan), "_bh": F.floor(F.col("_hi") / fan)})
+        ends = ranged.withColumn("_b", F.explode(F.array_distinct(F.array("_bl", "_bh")))).join(own, "_b").filter("_at BETWEEN _lo AND _hi").select(*names, "_m")
+        found = ends if found is None else found.union(ends)
+        # Nothing lies between two blocks once all positions fall into two.
+        if width <= fan:
+            return found.groupBy(*names).agg(F.min("_m").alias("_m")).select(*names, F.col("_m._pos").alias("pos"), F.col("_m._v").alias("value"))
+        depth += 1
+        level = store.put(f"level{depth}", own.groupBy(F.col("_b").alias("_at")).agg(F.min("_m").alias("_m")))
+        asks = ranged.filter("_bh - _bl > 1").select(*names, (F.col("_bl") + 1).alias("_lo"), (F.col("_bh") - 1).alias("_hi"))
+        width = width // fan + 2 if width > 2 * fan else 1

@@ -131,3 +131,21 @@ def test_entry_without_optional_folders():
     assert set(catalogue.queries()) <= found
     if importlib.util.find_spec("ramus.llm") is None:
         assert not any(n.startswith("op") for n in found)
+
+
+def test_range_min_by_levels(spark):
+    """Against a scan of each range; positions with gaps and below 0, ties, empty ranges, ranges beyond the ends."""
+    import random
+
+    from ramus.operators.sequences import range_min
+
+    r = random.Random(1)
+    at = sorted(r.sample(range(-700, 2500), 1500))
+    values = {p: r.randrange(40) for p in at}
+    asked = [(i, lo, lo + r.choice([0, 3, 40, 900, 4000])) for i, lo in enumerate(r.randrange(-900, 2600) for _ in range(120))] + [(500, 9, 2)]
+    seq = spark.createDataFrame(list(values.items()), "p long, x long")
+    queries = spark.createDataFrame(asked, "q long, lo long, hi long")
+    want = {(q, *min((values[p], p) for p in at if lo <= p <= hi)) for q, lo, hi in asked if any(lo <= p <= hi for p in at)}
+    for fan in (2, 16):
+        assert {(x.q, x.value, x.pos) for x in range_min(queries, seq, "lo", "hi", "p", "x", fan).collect()} == want
+    assert range_min(queries, seq.limit(0), "lo", "hi", "p", "x").count() == 0
