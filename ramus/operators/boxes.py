@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ramus.functions import vectors as V
 from ramus.operators.sequences import with_rank
-from ramus.operators.spatial import BLOCK_ROWS, PRUNE_BLOCKS, _distances, _vectors, by_block_pairs, near_boxes
+from ramus.operators.spatial import BLOCK_ROWS, FAN, PRUNE_BLOCKS, _distances, _vectors, by_block_pairs, near_boxes
 from ramus.operators.storage import Tables
 
 #: Bounds and box distances are rounded in different ways.
@@ -25,14 +25,14 @@ SLACK = 1e-9
 _FOUND = "id long, nn long, low double, high double"
 
 
-def deal(rows: DataFrame, store: Tables, name: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """The rows (id, v and more) with their block b, by ranks along a Morton curve of v."""
+def deal(rows: DataFrame, store: Tables, name: str, block_rows: int = BLOCK_ROWS, first: tuple[str, ...] = ()) -> DataFrame:
+    """The rows (id, v and more) with their block b, by ranks along a Morton curve of v, after the columns ``first``."""
     dims = (rows.select(F.size("v")).first() or [0])[0]
     along = min(dims, 3)
-    span = rows.agg(*(f(F.col("v")[j]) for j in range(along) for f in (F.min, F.max))).first()
+    span = rows.agg(F.count("*"), *(f(F.col("v")[j]) for j in range(along) for f in (F.min, F.max))).first()[1:]
     lo = [span[2 * j] or 0.0 for j in range(along)]
     width = [max((span[2 * j + 1] or 0.0) - lo[j], 1e-300) / (1 << 16) for j in range(along)]
-    ranked = with_rank(rows.withColumn("_m", V.morton("v", lo, width, 17)), ["_m", "id"], "pos")
+    ranked = with_rank(rows.withColumn("_m", V.morton("v", lo, width, 17)), [*first, "_m", "id"], "pos")
     return store.put(name, ranked.withColumn("b", F.floor(F.col("pos") / block_rows)).drop("_m"))
 
 
@@ -195,3 +195,64 @@ def spanning_tree_by_boxes(points: DataFrame, core: str | None = None, block_row
         root = _contracted(best, store).withColumnRenamed("a", "label")
         label = store.put("label", label.join(root, "label").select("id", F.col("root").alias("label")))
         round_no += 1
+
+
+def farthest_boxes(dealt: DataFrame, group: str, store: Tables) -> DataFrame:
+    """a, x, b, y: blocks x of group a and y of group b > a that can hold their farthest pair.
+
+    dealt: id, v, b (block) and the group. Boxes are put into larger ones of one group level
+    by level. From the top, the points of two boxes that lie farthest out are a distance that
+    the farthest pair has at least, and two boxes whose span is less are left out.
+    """
+    dims = (dealt.select(F.size("v")).first() or [0])[0]
+    n = (dealt.agg(F.max("b")).first()[0] or 0) + 1
+    if dims < 1:
+        kind = dict(dealt.dtypes)[group]
+        return dealt.sparkSession.createDataFrame([], f"a {kind}, x long, b {kind}, y long")
+    mean = dealt.agg(*(F.avg(F.col("v")[j]) for j in range(dims))).first()
+    out = V.distance("v", F.array(*(F.lit(x) for x in mean)))
+    corner = lambda lo, hi: [F.array(*(f(F.col(c)[j]) for j in range(dims))).alias(to) for f, c, to in ((F.min, lo, "lo"), (F.max, hi, "hi"))]
+    levels = [store.put("level0", dealt.groupBy(F.col(group).alias("g"), "b").agg(*corner("v", "v"), F.max(F.struct(out.alias("o"), "v")).alias("far")))]
+    while n > 1:
+        levels.append(store.put(f"level{len(levels)}", levels[-1].groupBy("g", F.floor(F.col("b") / FAN).alias("b")).agg(*corner("lo", "hi"), F.max("far").alias("far"))))
+        n = -(-n // FAN)
+    # One box of each group at the top, so the pairs are those of the result.
+    top = levels[-1].select("g", "b")
+    pairs = top.select(F.col("g").alias("a"), F.col("b").alias("x")).join(top.select(F.col("g").alias("b"), F.col("b").alias("y")), F.col("a") < F.col("b"))
+    for k, level in reversed(list(enumerate(levels))):
+        side = lambda g, b: level.select(F.col("g").alias(g), F.col("b").alias(b), *(F.col(c).alias(f"_{b}{c}") for c in ("lo", "hi")), F.col("far.v").alias(f"_{b}v"))  # noqa: B023, E731
+        p, q = side("a", "x"), side("b", "y")
+        if k < len(levels) - 1:
+            p, q = p.withColumn("_px", F.floor(F.col("x") / FAN)), q.withColumn("_py", F.floor(F.col("y") / FAN))
+            met = pairs.withColumnsRenamed({"x": "_px", "y": "_py"}).join(p, ["a", "_px"]).join(q, ["b", "_py"])
+        else:
+            met = pairs.join(p, ["a", "x"]).join(q, ["b", "y"])
+        met = store.put("spans", met.select("a", "x", "b", "y", V.box_box_span("_xlo", "_xhi", "_ylo", "_yhi").alias("span"), V.distance("_xv", "_yv").alias("d")))
+        least = met.groupBy("a", "b").agg(F.max("d").alias("least"))
+        pairs = store.put(f"kept{k}", met.join(least, ["a", "b"]).filter(F.col("span") * (1 + SLACK) >= F.col("least")).select("a", "x", "b", "y"))
+    return pairs
+
+
+def farthest_pairs(points: DataFrame, group: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """a < b, d, i, j: the farthest points i of group a and j of group b, ties by smaller ids.
+
+    Only blocks of points that can hold them meet (:func:`farthest_boxes`). In many dimensions
+    boxes prune little. Rows without a group are left out; no points or one group give no rows.
+    """
+    kind = dict(points.dtypes)[group]
+    store = Tables(points.sparkSession, "farthest")
+    dealt = deal(points.select("id", "v", group).filter(F.col(group).isNotNull()), store, "dealt", block_rows, (group,))
+    pairs = farthest_boxes(dealt, group, store)
+    left = pairs.join(dealt.select(F.col(group).alias("a"), F.col("b").alias("x"), "id", "v"), ["a", "x"]).select("a", "x", "b", "y", F.lit(True).alias("left"), "id", "v")
+    right = pairs.join(dealt.select(F.col(group).alias("b"), F.col("b").alias("y"), "id", "v"), ["b", "y"]).select("a", "x", "b", "y", F.lit(False).alias("left"), "id", "v")
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        p, q = pdf[pdf["left"]], pdf[~pdf["left"]]
+        d = np.sqrt(_distances(_vectors(p), _vectors(q)))
+        i, j = np.unravel_index(d.argmax(), d.shape)
+        return pd.DataFrame({"a": [pdf["a"].iloc[0]], "b": [pdf["b"].iloc[0]], "d": [d[i, j]], "i": [p["id"].iloc[i]], "j": [q["id"].iloc[j]]})
+
+    found = left.union(right).groupBy("a", "x", "b", "y").applyInPandas(kernel, f"a {kind}, b {kind}, d double, i long, j long")
+    best = found.groupBy("a", "b").agg(F.min(F.struct((-F.col("d")).alias("d"), "i", "j")).alias("s"))
+    return best.select("a", "b", (-F.col("s.d")).alias("d"), "s.i", "s.j")

@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ramus.functions import vectors as V
-from ramus.operators.boxes import candidates as cluster_candidates, spanning_tree_by_boxes
+from ramus.operators.boxes import candidates as cluster_candidates, farthest_pairs, spanning_tree_by_boxes
 from ramus.operators import clustering as C
 from ramus.operators import dendrogram as D
 from ramus.operators import graphs as G
 from ramus.operators import sequences as S
 from ramus.operators import spatial as P
 from ramus.operators import tables as T
+from ramus.operators.dynamic import DynamicPoints
+from ramus.operators.octree import octree
+from ramus.operators.storage import fresh_path
 from ramus.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -295,6 +298,36 @@ def morton_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _customers(spark, sf_dir).select("id", V.morton("v", [0.0, -1.0], [0.25, 0.015625], 10).alias("code"))
 
 
+_QUAD = f"(SELECT id, v, list_sum([((x >> b) & 1) * (1::BIGINT << (2 * b)) + ((y >> b) & 1) * (2::BIGINT << (2 * b)) FOR b IN range(10)])::BIGINT AS m FROM (SELECT id, v, {_CELL('v[1]', '0.0', '0.03125')} AS x, {_CELL('v[2]', '-1.0', '0.03125')} AS y FROM {CUSTOMERS}))"
+
+
+@query(
+    f"WITH c AS (SELECT depth::INT AS depth, (m >> (2 * (10 - depth))::INT)::BIGINT AS cell, count(*) AS n, min(v[2]) AS lo, max(v[2]) AS hi, avg(v[2]) AS mean FROM {_QUAD} CROSS JOIN (SELECT unnest(range(11)) AS depth) GROUP BY 1, 2), "
+    "p AS (SELECT *, (sum(n) OVER (PARTITION BY depth ORDER BY cell) - n)::BIGINT AS first FROM c), k AS (SELECT p.* FROM p LEFT JOIN p u ON u.depth = p.depth - 1 AND u.cell = p.cell >> 2 WHERE p.depth = 0 OR u.n > 8) "
+    "SELECT row_number() OVER (ORDER BY cell << (2 * (10 - depth)), depth) - 1 AS node, depth, cell, n, first, n <= 8 OR depth = 10 AS leaf, round(lo, 6) AS lo, round(hi, 6) AS hi, round(mean, 6) AS mean FROM k"
+)
+def octree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the tree of customers (nation, balance), leaves of up to 8; lo, hi and mean are of the balances."""
+    nodes = octree(_customers(spark, sf_dir), 8, 10, [0.0, -1.0], 32.0)
+    return nodes.select("node", "depth", "cell", "n", "first", "leaf", *(F.round(F.col(c)[1], 6).alias(c) for c in ("lo", "hi", "mean")))
+
+
+@query(f"WITH p AS (SELECT c.id, c.v, c_mktsegment AS g FROM {CUSTOMERS} c JOIN customer ON c_custkey = c.id) SELECT a, b, round(d, 6) AS d, i, j FROM (SELECT a.g AS a, b.g AS b, a.id AS i, b.id AS j, {DIST} AS d, row_number() OVER (PARTITION BY a.g, b.g ORDER BY {DIST} DESC, a.id, b.id) AS k FROM p a JOIN p b ON a.g < b.g) WHERE k = 1")
+def farthest_pair_by_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("g"))
+    return farthest_pairs(_customers(spark, sf_dir).join(segments, "id"), "g", block_rows=64).withColumn("d", F.round("d", 6))
+
+
+@query(f"WITH p AS (SELECT id, v FROM {CUSTOMERS} WHERE id % 7 <> 0 AND (id % 4 IN (1, 3) OR id % 5 <> 0) UNION ALL SELECT id + 1000000000, v FROM {SUP}) SELECT s.id AS center, p.id FROM {SUP} s JOIN p ON abs(p.v[1] - s.v[1]) <= 1.25 AND abs(p.v[2] - s.v[2]) <= 1.25")
+def dynamic_points_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All customers and suppliers in batches of inserts between batches of erasures, in an index kept on disk."""
+    first, more = _customers(spark, sf_dir), planar(spark, sf_dir)
+    index = DynamicPoints(spark, fresh_path(spark, "dynamic"), [0.0, -1.0], 32.0)
+    index.insert(first.filter("id % 4 = 0")).insert(first.filter("id % 4 = 2")).erase(first.filter("id % 5 = 0"))
+    index.insert(first.filter("id % 4 IN (1, 3)")).erase(first.filter("id % 7 = 0")).insert(more.select(F.col("id") + 1000000000, "v").toDF("id", "v"))
+    return index.box(more.select(F.col("id").alias("center"), F.col("v").alias("c")), 1.25)
+
+
 @query("WITH o AS (SELECT o_custkey, arg_max(o_totalprice, o_orderkey) AS p FROM orders GROUP BY 1) SELECT coalesce(c_custkey, o_custkey) AS id, coalesce(p, c_acctbal) AS balance FROM customer FULL JOIN o ON c_custkey = o_custkey")
 def upsert_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
     have = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"))
