@@ -16,7 +16,9 @@ from ramus.operators import sequences as S
 from ramus.operators import spatial as P
 from ramus.operators import tables as T
 from ramus.operators.dynamic import DynamicPoints
+from ramus.operators.mesh import apply_edits
 from ramus.operators.octree import octree
+from ramus.operators.plugins import WEIGHTED, hac_with, manhattan, metric_pairs
 from ramus.operators.storage import fresh_path
 from ramus.sources import files
 
@@ -549,6 +551,36 @@ def mesh_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.triangle_neighbours(table(spark, sf_dir, "orders").select(k.alias("t"), k.alias("a"), (k + 1).alias("b"), (k + 2).alias("c")))
 
 
+# The strip with sides that turn alike. Urgent orders' triangles are split, and pairs of others (an even and the next) flipped.
+_TURNED = "(SELECT o_orderkey AS k, o_orderkey + o_orderkey % 2 AS a, o_orderkey + 1 - o_orderkey % 2 AS b, o_orderkey + 2 AS c, o_orderpriority = '1-URGENT' AS urgent FROM orders)"
+
+
+@query(
+    f"WITH m AS (SELECT * FROM {_TURNED}), f AS (SELECT x.k, y.k AS l, x.a, x.b, x.c, y.c AS d FROM m x JOIN m y ON x.k % 2 = 0 AND y.k = x.k + 1 AND NOT x.urgent AND NOT y.urgent), "
+    "r AS (SELECT a, b, 1000000000 + k AS c FROM m WHERE urgent UNION ALL SELECT b, c, 1000000000 + k FROM m WHERE urgent UNION ALL SELECT c, a, 1000000000 + k FROM m WHERE urgent "
+    "UNION ALL SELECT a, d, b FROM f UNION ALL SELECT d, a, c FROM f UNION ALL SELECT a, b, c FROM m WHERE NOT urgent AND k NOT IN (SELECT k FROM f) AND k NOT IN (SELECT l FROM f)) "
+    "SELECT least(a, b, c) AS x, a + b + c - least(a, b, c) - greatest(a, b, c) AS y, greatest(a, b, c) AS z FROM r"
+)
+def mesh_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corners, sorted, of all triangles after the edits."""
+    k, odd = F.col("o_orderkey"), F.col("o_orderkey") % 2
+    orders = table(spark, sf_dir, "orders").select(k.alias("t"), (k + odd).alias("a"), (k + 1 - odd).alias("b"), (k + 2).alias("c"), (F.col("o_orderpriority") == "1-URGENT").alias("urgent"))
+    split = orders.filter("urgent").selectExpr("t AS edit", "'split' AS kind", "t", "CAST(NULL AS LONG) AS u", "CAST(NULL AS LONG) AS v", "t + 1000000000 AS p")
+    calm = orders.filter("NOT urgent")
+    pairs = calm.filter("t % 2 = 0").join(calm.select((F.col("t") - 1).alias("t")), "t")
+    flip = pairs.selectExpr("t AS edit", "'flip' AS kind", "CAST(NULL AS LONG) AS t", "t + 1 AS u", "t + 2 AS v", "CAST(NULL AS LONG) AS p")
+    mesh, _ = apply_edits(orders.drop("urgent"), split.unionByName(flip))
+    low, high = F.least("a", "b", "c"), F.greatest("a", "b", "c")
+    return mesh.select(low.alias("x"), (F.col("a") + F.col("b") + F.col("c") - low - high).alias("y"), high.alias("z"))
+
+
+@query()
+def hac_weighted_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A supplied linkage and metric over the centroids of the suppliers' nations."""
+    centres = _nations(spark, sf_dir).select("id", "v")
+    return hac_with(metric_pairs(centres, manhattan), centres, WEIGHTED).withColumn("height", F.round("height", 6))
+
+
 @query("SELECT l_suppkey AS row, round(sum(l_quantity * p_retailprice), 4) AS value FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1")
 def spmv(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("u"), F.col("l_partkey").alias("v"), F.col("l_quantity").alias("w"))
