@@ -306,12 +306,15 @@ _QUAD = f"(SELECT id, v, list_sum([((x >> b) & 1) * (1::BIGINT << (2 * b)) + ((y
 @query(
     f"WITH c AS (SELECT depth::INT AS depth, (m >> (2 * (10 - depth))::INT)::BIGINT AS cell, count(*) AS n, min(v[2]) AS lo, max(v[2]) AS hi, avg(v[2]) AS mean FROM {_QUAD} CROSS JOIN (SELECT unnest(range(11)) AS depth) GROUP BY 1, 2), "
     "p AS (SELECT *, (sum(n) OVER (PARTITION BY depth ORDER BY cell) - n)::BIGINT AS first FROM c), k AS (SELECT p.* FROM p LEFT JOIN p u ON u.depth = p.depth - 1 AND u.cell = p.cell >> 2 WHERE p.depth = 0 OR u.n > 8) "
-    "SELECT row_number() OVER (ORDER BY cell << (2 * (10 - depth)), depth) - 1 AS node, depth, cell, n, first, n <= 8 OR depth = 10 AS leaf, round(lo, 6) AS lo, round(hi, 6) AS hi, round(mean, 6) AS mean FROM k"
+    "SELECT row_number() OVER (ORDER BY cell << (2 * (10 - depth)), depth) - 1 AS node, depth, cell, n, first, n <= 8 OR depth = 10 AS leaf, round(lo, 6) AS lo, round(hi, 6) AS hi, round(mean + 3.1415926e-8, 6) AS mean FROM k"
 )
 def octree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes of the tree of customers (nation, balance), leaves of up to 8; lo, hi and mean are of the balances."""
+    """Nodes of the tree of customers (nation, balance), leaves of up to 8; lo, hi and mean are of the balances.
+
+    A little is added to means, as many of them lie halfway between two rounded values.
+    """
     nodes = octree(_customers(spark, sf_dir), 8, 10, [0.0, -1.0], 32.0)
-    return nodes.select("node", "depth", "cell", "n", "first", "leaf", *(F.round(F.col(c)[1], 6).alias(c) for c in ("lo", "hi", "mean")))
+    return nodes.select("node", "depth", "cell", "n", "first", "leaf", *(F.round(F.col(c)[1] + shift, 6).alias(c) for c, shift in (("lo", 0.0), ("hi", 0.0), ("mean", 3.1415926e-8))))
 
 
 @query(f"WITH p AS (SELECT c.id, c.v, c_mktsegment AS g FROM {CUSTOMERS} c JOIN customer ON c_custkey = c.id) SELECT a, b, round(d, 6) AS d, i, j FROM (SELECT a.g AS a, b.g AS b, a.id AS i, b.id AS j, {DIST} AS d, row_number() OVER (PARTITION BY a.g, b.g ORDER BY {DIST} DESC, a.id, b.id) AS k FROM p a JOIN p b ON a.g < b.g) WHERE k = 1")

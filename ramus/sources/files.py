@@ -135,6 +135,42 @@ def read_triangles(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return points.select("id", F.array("x", "y").alias("v")), triangles.withColumnRenamed("id", "t")
 
 
+def _numbered(spark: SparkSession, path: str) -> tuple[list[int], DataFrame]:
+    """The numbers of the first line, and line, k (from 0), t (fields) of the rows after it; '#' starts a comment."""
+    body = lines(spark, path).withColumn("value", F.trim(F.regexp_replace(F.regexp_replace("value", "#.*", ""), SPACE, " "))).filter("value <> ''")
+    body = cut(body.select("line", F.split("value", " ").alias("t")))
+    first = body.orderBy("line").first()
+    if first is None:
+        raise ValueError(f"{path} has no header line")
+    rows = body.filter(F.col("line") > first.line)
+    head = [int(x) for x in first.t]
+    if rows.count() != head[0]:
+        raise ValueError(f"{path} tells {head[0]} rows and has another number of them")
+    least = rows.agg(F.min(F.col("t")[0].cast("long"))).first()[0] or 0
+    return head, rows.select((F.col("t")[0].cast("long") - least).alias("k"), F.lit(least).alias("least"), "t")
+
+
+def read_node_ele(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(id, v) points of path.node and (t, a, b, c) triangles of path.ele.
+
+    Files may number from 0 or 1; here points and triangles count from 0. Attributes,
+    markers and further corners of a row are left out.
+    """
+    head, nodes = _numbered(spark, f"{path}.node")
+    dims = head[1] if len(head) > 1 else 2
+    points = nodes.select(F.col("k").alias("id"), F.transform(F.slice("t", 2, dims), lambda x: x.cast("double")).alias("v"))
+    least = nodes.agg(F.max("least")).first()[0] or 0
+    corner = lambda j: F.get("t", F.lit(j)).cast("long") - least
+    _, rows = _numbered(spark, f"{path}.ele")
+    return points, rows.select(F.col("k").alias("t"), *(corner(j).alias(c) for j, c in enumerate("abc", 1)))
+
+
+def without_last_points(points: DataFrame, triangles: DataFrame, n: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Both without the last n points (ids from 0), which close the hull in some files, and the triangles at them."""
+    keep = points.count() - n
+    return points.filter(F.col("id") < keep), triangles.filter(F.greatest("a", "b", "c") < keep)
+
+
 def read_matrix_market(spark: SparkSession, path: str) -> DataFrame:
     """u, v, w from 0, without zeros and comment lines."""
     body = lines(spark, path).filter("NOT value LIKE '!%%' ESCAPE '!' AND trim(value) <> ''")

@@ -92,3 +92,19 @@ def test_whole_files_and_numbers(spark, tmp_path):
     assert [r.value for r in S.whole_files(spark, path).collect()] == ["a 1\n-2.5e3 . 7."]
     found = S.tokens(spark, path).filter(S.is_number("token")).orderBy("pos").collect()
     assert [r.token for r in found] == ["1", "-2.5e3", "7."]
+
+
+def test_node_ele_pair(spark, tmp_path):
+    (tmp_path / "m.node").write_text("# corners\n4 2 1 1\n1 0 0 7 1\n2  1.5 0 7 1\n3\t0 1 7 1\n4 1 1 7 0 # last\n")
+    (tmp_path / "m.ele").write_text("2 3 0\n1 1 2 3\n\n2 2 4 3\n")
+    points, triangles = S.read_node_ele(spark, str(tmp_path / "m"))
+    assert sorted((r.id, r.v) for r in points.collect()) == [(0, [0.0, 0.0]), (1, [1.5, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0])]
+    assert sorted(tuple(r) for r in triangles.collect()) == [(0, 0, 1, 2), (1, 1, 3, 2)]
+    inner = S.without_last_points(points, triangles, 1)
+    assert [t.count() for t in inner] == [3, 1]
+    (tmp_path / "m.ele").write_text("3 3 0\n1 1 2 3\n")
+    with pytest.raises(ValueError, match="3 rows"):
+        S.read_node_ele(spark, str(tmp_path / "m"))
+    (tmp_path / "none.node").write_text("")
+    with pytest.raises(ValueError, match="no header"):
+        S.read_node_ele(spark, str(tmp_path / "none"))
