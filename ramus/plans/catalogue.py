@@ -16,6 +16,7 @@ from ramus.operators import sequences as S
 from ramus.operators import spatial as P
 from ramus.operators import tables as T
 from ramus.operators.dynamic import DynamicPoints
+from ramus.operators.matrix_range import hac_matrix_range
 from ramus.operators.mesh import apply_edits
 from ramus.operators.octree import octree
 from ramus.operators.plugins import WEIGHTED, hac_with, manhattan, metric_pairs
@@ -176,8 +177,71 @@ def _hac_cost(method: str) -> Query:
     return run
 
 
+def _agglomerated(points: str, d: str, method: str) -> str:
+    """The start of a statement with merges(step, lo, hi, height, size), one merge at a time: least height, then ids.
+
+    t holds the pairs i < j of all clusters left before each step, with sizes, variances and the merge that led to them.
+    """
+    height = "sqrt(2.0 * wi * wj / (wi + wj) * greatest(m - vi - vj, 0))" if method == "ward" else "m"
+    joined = {"complete": "max(m)", "weighted": "avg(m)"}.get(method, "sum(m * wi * wj) / sum(wi * wj)")
+    new = lambda end, merged, kept: f"CASE WHEN t.{end} IN (b.lo, b.hi) THEN b.{merged} ELSE t.{kept} END"
+    side = lambda x, y: f"any_value(CASE WHEN p < q THEN {x} ELSE {y} END)"
+    return (
+        f"WITH RECURSIVE pts AS ({points}), t(step, i, j, m, wi, wj, vi, vj, lo, hi, height, size) AS ("
+        f"SELECT 0, a.id, b.id, {d}, 1.0::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, NULL::BIGINT, NULL::BIGINT, NULL::DOUBLE, NULL::DOUBLE FROM pts a JOIN pts b ON a.id < b.id "
+        f"UNION ALL (WITH b AS (SELECT i AS lo, j AS hi, {height} AS height, wi + wj AS size, (wi * vi + wj * vj) / (wi + wj) + wi * wj / ((wi + wj) * (wi + wj)) * greatest(m - vi - vj, 0) AS var FROM t ORDER BY {height}, i, j LIMIT 1), "
+        f"x AS (SELECT t.step, CASE WHEN t.i = b.lo THEN b.hi ELSE t.i END AS p, CASE WHEN t.j = b.lo THEN b.hi ELSE t.j END AS q, m, t.wi, t.wj, {new('i', 'size', 'wi')} AS wp, {new('j', 'size', 'wj')} AS wq, {new('i', 'var', 'vi')} AS vp, {new('j', 'var', 'vj')} AS vq, b.lo, b.hi, b.height, b.size FROM t, b) "
+        f"SELECT step + 1, least(p, q), greatest(p, q), {joined}, {side('wp', 'wq')}, {side('wq', 'wp')}, {side('vp', 'vq')}, {side('vq', 'vp')}, any_value(lo), any_value(hi), any_value(height), any_value(size) FROM x WHERE p <> q GROUP BY step, least(p, q), greatest(p, q))), "
+        f"merges AS (SELECT DISTINCT step - 1 AS step, lo, hi, height, size::BIGINT AS size FROM t WHERE step > 0 UNION ALL SELECT step, i, j, {height}, (wi + wj)::BIGINT FROM t WHERE step = (SELECT max(step) FROM t))"
+    )
+
+
+def _hac_sql(method: str, points: str = f"SELECT id, v FROM {E}") -> str:
+    return _agglomerated(points, f"pow({DIST}, 2)" if method in ("ward", "avgsq") else DIST, method)
+
+
+HAC_COST = "SELECT count(*) AS n_merges, round(coalesce(sum(height), 0), 6) AS cost FROM merges"
+#: Leaves are numbered in the order of their ids, merges after them.
+HAC_ROWS = (
+    ", n AS (SELECT count(*) AS n FROM pts), leaf AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS leaf FROM pts), "
+    "node AS (SELECT m.step, c.id, coalesce(max(e.step) + any_value(n.n), any_value(leaf.leaf)) AS node FROM merges m JOIN (SELECT step, unnest([lo, hi]) AS id FROM merges) c ON c.step = m.step JOIN leaf ON leaf.id = c.id CROSS JOIN n LEFT JOIN merges e ON e.hi = c.id AND e.step < m.step GROUP BY m.step, c.id) "
+    "SELECT m.step::BIGINT AS step, min(node)::BIGINT AS id1, max(node)::BIGINT AS id2, round(any_value(height), 6) AS height, any_value(size) AS size FROM merges m JOIN node ON node.step = m.step GROUP BY m.step"
+)
+
 for _m in ("complete", "ward", "avg", "avgsq"):
-    query()(_hac_cost(_m))
+    query(f"{_hac_sql(_m)} {HAC_COST}")(_hac_cost(_m))
+
+
+@query(f"{_hac_sql('complete')} {HAC_COST}")
+def hac_complete_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By distributed rounds until 64 clusters are left."""
+    return C.cost(C.hac(points(spark, sf_dir), "complete", finish=64)).select("n_merges", F.round("cost", 6).alias("cost"))
+
+
+@query(f"{_hac_sql('ward')} {HAC_COST}")
+def hac_ward_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By distributed rounds over centroids until 64 clusters are left."""
+    return C.cost(C.hac(points(spark, sf_dir), "ward", finish=64)).select("n_merges", F.round("cost", 6).alias("cost"))
+
+
+@query(f"{_hac_sql('avg', f'SELECT id, v FROM {SUP}')} {HAC_COST}")
+def hac_avg_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers by their members and bounded candidates until 24 clusters are left."""
+    return C.cost(C.hac(planar(spark, sf_dir), "avg", matrix=24)).select("n_merges", F.round("cost", 6).alias("cost"))
+
+
+def _by_range(method: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Suppliers by a kept table of pairs and range searches until 24 clusters are left."""
+        p = planar(spark, sf_dir)
+        return D.dendrogram(hac_matrix_range(p, method, finish=24), p).withColumn("height", F.round("height", 6))
+
+    run.__name__ = f"hac_matrix_range_{method}"
+    return run
+
+
+for _m in ("complete", "ward"):
+    query(f"{_hac_sql(_m, f'SELECT id, v FROM {SUP}')}{HAC_ROWS}")(_by_range(_m))
 
 
 def _prim(points: str, d: str, first: str = "") -> str:
@@ -214,13 +278,13 @@ for _m, _d in (("ward", "d"), ("avgsq", "d * d"), ("complete", "d")):
     query(f"SELECT i AS id, first(j ORDER BY d, j) AS nn, round(min({_d}), 6) AS d FROM ({BOTH}) GROUP BY i")(_nearest_by(_m))
 
 
-@query()
+@query(f"{_hac_sql('complete')}{HAC_ROWS}")
 def hac_complete_dendrogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir)
     return D.dendrogram(C.hac(p, "complete"), p).withColumn("height", F.round("height", 6))
 
 
-@query()
+@query(f"{_hac_sql('ward')}, cut(id, label) AS (SELECT id, id FROM pts UNION ALL SELECT cut.id, m.hi FROM cut JOIN merges m ON m.lo = cut.label AND m.step < (SELECT count(*) - 10 FROM pts)) SELECT id, max(label) AS label FROM cut GROUP BY id")
 def hac_ward_cut_10(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir)
     return D.cut_to(C.hac(p, "ward"), p.select("id"), 10)
