@@ -51,6 +51,12 @@ def test_csr_offsets_of_large_ids(spark, tmp_path):
     assert got == {x: sum(n for y, n in degree.items() if y < x) for x in range(5001)}
 
 
+def test_csr_offsets_of_vertices_without_edges(spark, tmp_path):
+    spark.createDataFrame([(1, 2)], "l_suppkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {r.row: r.start for r in catalogue.queries()["csr_offsets"](spark, str(tmp_path)).collect()}
+    assert got == {x: min(max(x - 1, 0), 2) for x in range(3000)}
+
+
 def test_scan_over_many_blocks(spark):
     df = spark.range(1000).select("id", (F.col("id") % 7 - 3).alias("x"))
     got = {r.id: r.scan for r in S.scan(df, "id", "x", block=8).collect()}
