@@ -43,3 +43,17 @@ def test_rows_are_sent_few_times():
     """A point goes to each block: 9 of them for 100,000 points of 64 dimensions, where 1024 rows a block would make 98."""
     assert -(-100_000 // P.block_size(100_000, 64)) <= 9
     assert 2 * P.block_size(10**9, 64) * 64 * 8 <= 1 << 24
+
+
+def test_boxes_that_leave_out_nothing(spark, monkeypatch):
+    """Rows of many dimensions go to larger parts, not to each near box."""
+    from ramus.operators import boxes as B
+
+    monkeypatch.setattr(B, "near_boxes", lambda *a: pytest.fail("rows go to each near box"))
+    x = np.random.default_rng(5).normal(size=(300, 12))
+    rows = spark.createDataFrame([(i, v.tolist(), 1, 0.0, 0.0, True) for i, v in enumerate(x)], "id long, v array<double>, n long, var double, r double, stale boolean")
+    d = np.sqrt(P._distances(x, x))
+    np.fill_diagonal(d, np.inf)
+    got = {r.id: (r.nn, r.low) for r in B.candidates(rows, "ward", block_rows=8, prune_blocks=1).collect()}
+    assert {i: n for i, (n, _) in got.items()} == dict(enumerate(d.argmin(1).tolist()))
+    assert [got[i][1] for i in range(300)] == pytest.approx(d.min(1))
