@@ -153,3 +153,16 @@ def test_nearest_cluster_by_boxes(spark, method):
     least = lambda df: {x.id: (x.s.nn, x.s.low) for x in df.groupBy("id").agg(F.min(F.struct("low", "nn")).alias("s")).collect()}
     want = least(B.candidates(table, method))
     assert least(B.candidates(table, method, block_rows=16, prune_blocks=2)) == want and len(want) == sum(x[5] for x in rows)
+
+
+def test_trees_of_two_blocks(spark):
+    """n x blocks edges hold the tree of all pairs, with its ties, and the same components."""
+    r = random.Random(8)
+    table = points(spark, [(i, [float(r.randrange(6)), float(r.randrange(6))]) for i in range(70)])
+    pairs = P.pair_distances(table).select(F.col("i").alias("u"), F.col("j").alias("v"), F.col("d").alias("w"))
+    edges = C.tree_edges(table, 16)
+    assert edges.count() < 5 * 70
+    rows = lambda df: {(x.u, x.v, x.w) for x in df.collect()}
+    assert rows(C.mst(edges, table)) == rows(C.mst(pairs, table))
+    cut = lambda df: {(x.id, x.label) for x in C.components(df.filter("w <= 0.8"), table.select("id")).collect()}
+    assert cut(edges) == cut(pairs)
