@@ -47,3 +47,14 @@ def test_refusals(spark):
         M.hac_matrix_range(points(spark, [(1, [0.0])]), "single")
     with pytest.raises(ValueError):
         M.hac_matrix_range(points(spark, [(1, [float("nan")]), (2, [0.0])]), "ward")
+
+
+@pytest.mark.parametrize("method", ["complete", "ward"])
+def test_table_of_a_bounded_number_of_clusters(spark, method):
+    r = random.Random(12)
+    table = spark.createDataFrame([(i, [r.random(), r.random()]) for i in range(60)], "id long, v array<double>")
+    written = []
+    got = {(x.lo, x.hi): x.height for x in M.hac_matrix_range(table, method, finish=8, written=written, matrix=30).collect()}
+    want = {(x.lo, x.hi): x.height for x in C.hac(table, method).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got)
+    assert written[0] <= 30 * 29 // 2
