@@ -57,3 +57,12 @@ def test_boxes_that_leave_out_nothing(spark, monkeypatch):
     got = {r.id: (r.nn, r.low) for r in B.candidates(rows, "ward", block_rows=8, prune_blocks=1).collect()}
     assert {i: n for i, (n, _) in got.items()} == dict(enumerate(d.argmin(1).tolist()))
     assert [got[i][1] for i in range(300)] == pytest.approx(d.min(1))
+
+
+def test_clusters_within_a_ball_by_counts(spark, monkeypatch):
+    monkeypatch.setattr(P, "ball_join", lambda *a: pytest.fail("a row for each pair"))
+    x = np.round(np.random.default_rng(9).normal(size=(80, 2)), 1)
+    rows = spark.createDataFrame([(i, v.tolist(), i % 5) for i, v in enumerate(x)], "id long, v array<double>, label long")
+    got = {(r.center, r.label) for r in P.complete_candidates(rows.select("id", "v"), rows.select("id", "label"), rows.selectExpr("id AS center", "v AS c"), 3.0).collect()}
+    d = np.sqrt(P._distances(x, x))
+    assert got == {(i, g) for i in range(80) for g in range(5) if d[i, g::5].max() <= 3.0}
