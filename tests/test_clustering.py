@@ -4,6 +4,7 @@ import itertools
 import random
 
 import pytest
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ramus.operators import boxes as B
@@ -166,3 +167,21 @@ def test_trees_of_two_blocks(spark):
     assert rows(C.mst(edges, table)) == rows(C.mst(pairs, table))
     cut = lambda df: {(x.id, x.label) for x in C.components(df.filter("w <= 0.8"), table.select("id")).collect()}
     assert cut(edges) == cut(pairs)
+
+
+def test_components_of_many_edges(spark):
+    """Nodes with many edges keep few, in one task and by rounds, with chains, loops and nodes that stand alone."""
+    r = random.Random(3)
+    edges = [(i, i + 1) for i in range(60)] + [(200 + r.randrange(3), 300 + i) for i in range(80) for _ in range(20)] + [(500, 500), (501, 502), (502, 501)]
+    label = {i: i for i in [*range(61), *range(200, 203), *range(300, 380), 500, 501, 502, 900]}
+    for _ in range(len(label)):
+        for u, v in edges:
+            label[u] = label[v] = max(label[u], label[v])
+    table, nodes = spark.createDataFrame(edges, "u long, v long").repartition(5), spark.createDataFrame([(i,) for i in (500, 900, 7, 7)], "id long")
+    for most in (1 << 18, 40):
+        found = {x.id: x.label for x in C.components(table, nodes, most).collect()}
+        assert found == {i: x for i, x in label.items() if i in found} and set(found) == set(label)
+        assert {x.id for x in C.components(table, most=most).collect()} == set(label) - {500, 900}
+    ends = [[[a for a, b in edges if a != b], [b for a, b in edges if a != b]]]
+    stars = list(C._stars(pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"]) for u, v in ends))
+    assert sum(x.num_rows for x in stars) < len(label) and len(ends[0][0]) > 1500
