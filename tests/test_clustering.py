@@ -185,3 +185,26 @@ def test_components_of_many_edges(spark):
     ends = [[[a for a, b in edges if a != b], [b for a, b in edges if a != b]]]
     stars = list(C._stars(pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"]) for u, v in ends))
     assert sum(x.num_rows for x in stars) < len(label) and len(ends[0][0]) > 1500
+
+
+@pytest.mark.parametrize("method", ["complete", "avg"])
+def test_parts_in_many_dimensions(spark, method, monkeypatch):
+    """Members that meet in parts, clusters spread over parts too, give the merges of the matrix; copies and ties at equal ids."""
+    r = random.Random(5)
+    rows = [(i, [r.gauss(0, 1) for _ in range(10)]) for i in range(70)]
+    rows += [(100 + i, rows[i][1]) for i in range(8)] + [(200 + i, [float(i % 3)] * 10) for i in range(9)]
+    table = points(spark, rows)
+    expected = C.hac(table, method).collect()
+    heights = lambda merges: sorted((m.size, round(m.height, 9)) for m in merges)
+    monkeypatch.setattr(L, "BLOCK_ROWS", 32)
+    for split, cells in ((8192, 1 << 22), (5, 320)):
+        out, clusters, pairs, rounds = L.hac_parts(table, method, 6, split=split, cells=cells)
+        merges = C.hac_pairs(pairs, clusters, method, round_no=rounds).collect()
+        for part in out:
+            merges += part.collect()
+        assert heights(merges) == heights(expected)
+        assert {(m.lo, m.hi) for m in merges} == {(m.lo, m.hi) for m in expected}
+    # Points of many dimensions go this way.
+    called = []
+    monkeypatch.setattr(C, "hac_parts", lambda *a, **k: called.append(1) or L.hac_parts(*a, **k))
+    assert heights(C.hac(table, method, matrix=60).collect()) == heights(expected) and called
