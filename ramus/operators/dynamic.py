@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ramus.functions import vectors as V
+from ramus.operators.spatial import in_cube, meet_in_cells
 from ramus.operators.storage import delete
 
 #: Changed rows for each kept row at which the points are written anew.
@@ -145,8 +146,6 @@ class DynamicPoints:
             x = F.element_at("c", k + 1)
             asks = asks.withColumn(f"_k{k}", F.explode(F.sequence(at(x - half, k), at(x + half, k))))
         code = V.morton(F.array(*(F.col(f"_k{k}") + F.lit(0.5) for k in range(along))), [0.0] * along, [1.0] * along, self.bits)
-        # One row for each cell, so no more than 32,768.
-        sizes = F.broadcast(self._read(self._of("points"), "points").groupBy("cell").agg(F.ceil(F.count("*") / 65536).cast("int").alias("_parts")))
-        points = self.rows().join(sizes, "cell").withColumn("_part", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int")).drop("_parts")
-        asks = asks.select("center", "c", code.alias("cell")).join(sizes, "cell").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-        return points.join(asks, ["cell", "_part"]).filter(~V.out_of_cube("v", "c", half)).select("center", "id")
+        asks = asks.select("center", "c", code.alias("cell"))
+        met, gaps = meet_in_cells(self.rows(), asks, centers.select("center", "c"), ["cell"])
+        return met.filter(in_cube(gaps, half)).select("center", "id")

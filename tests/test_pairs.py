@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from ramus.operators import spatial as P
 
@@ -66,3 +67,23 @@ def test_clusters_within_a_ball_by_counts(spark, monkeypatch):
     got = {(r.center, r.label) for r in P.complete_candidates(rows.select("id", "v"), rows.select("id", "label"), rows.selectExpr("id AS center", "v AS c"), 3.0).collect()}
     d = np.sqrt(P._distances(x, x))
     assert got == {(i, g) for i in range(80) for g in range(5) if d[i, g::5].max() <= 3.0}
+
+
+def test_cells_in_parts(spark, monkeypatch):
+    """A crowded cell's points are dealt to several groups and tasks, and all pairs are found; points of another dimension are near none."""
+    monkeypatch.setattr(P, "CELL_ROWS", 10)
+    monkeypatch.setattr(P, "TASK_PAIRS", 100)
+    rows = [(i, [0.5 + (i % 7) * 0.25, float(i % 3)]) for i in range(120)]
+    table = spark.createDataFrame([*rows, (500, [0.5]), (501, [0.5, 0.0, 0.0])], "id long, v array<double>").filter("size(v) > 1")
+    centers = spark.createDataFrame(rows[:60], "center long, c array<double>")
+    near = lambda test: sorted((c, i) for c, x in rows[:60] for i, y in rows if test([abs(s - t) for s, t in zip(x, y)]))
+    assert sorted((x.center, x.id) for x in P.box_join(table, centers, 1.0).collect()) == near(lambda g: max(g) <= 1.0)
+    found = P.ball_join(table, centers, 1.25)
+    assert sorted((x.center, x.id) for x in found.collect()) == near(lambda g: (g[0] ** 2 + g[1] ** 2) ** 0.5 <= 1.25)
+    left, asks = (x.withColumn("k", F.col(c) % 1) for x, c in ((table.filter("id < 500"), "id"), (centers, "center")))
+    met, _ = P.meet_in_cells(left, asks, centers, ["k"])
+    parts = met.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(parts) > 4 and sum(x["count"] for x in parts) == 120 * 60
+    long = [(i, [float(i % 2)] * 9) for i in range(6)]
+    found = P.box_join(spark.createDataFrame(long, "id long, v array<double>"), spark.createDataFrame(long, "center long, c array<double>"), 0.5)
+    assert found.count() == 18
