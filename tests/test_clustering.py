@@ -198,7 +198,7 @@ def test_parts_in_many_dimensions(spark, method, monkeypatch):
     heights = lambda merges: sorted((m.size, round(m.height, 9)) for m in merges)
     monkeypatch.setattr(L, "BLOCK_ROWS", 32)
     for split, cells in ((8192, 1 << 22), (5, 320)):
-        out, clusters, pairs, rounds = L.hac_parts(table, method, 6, split=split, cells=cells)
+        out, clusters, pairs, rounds = L.hac_parts(table, method, 20, split=split, cells=cells)
         merges = C.hac_pairs(pairs, clusters, method, round_no=rounds).collect()
         for part in out:
             merges += part.collect()
