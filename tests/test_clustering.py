@@ -208,3 +208,38 @@ def test_parts_in_many_dimensions(spark, method, monkeypatch):
     called = []
     monkeypatch.setattr(C, "hac_parts", lambda *a, **k: called.append(1) or L.hac_parts(*a, **k))
     assert heights(C.hac(table, method, matrix=60).collect()) == heights(expected) and called
+
+
+def test_single_linkage_of_copies(spark, monkeypatch):
+    """Points at one place need no round each, and rounds give the merges of one task."""
+    r = random.Random(11)
+    rows = [(i, [r.random(), r.random()]) for i in range(40)]
+    rows += [(100 + i, rows[i % 4][1]) for i in range(96)] + [(200 + i, [0.0, 7.0]) for i in range(5)]
+    table = points(spark, rows)
+    expected = C.hac_pairs(P.pair_distances(table).withColumnRenamed("d", "m"), table.select("id"), "single").collect()
+    put, names = C.Tables.put, []
+    monkeypatch.setattr(C.Tables, "put", lambda self, name, df: names.append(name) or put(self, name, df))
+    rows_of = lambda merges: {(m.lo, m.hi, m.size, round(m.height, 9)) for m in merges}
+    for finish in (C.FINISH, 5):
+        names.clear()
+        merges = C.hac(table, "single", finish=finish)
+        assert rows_of(merges.collect()) == rows_of(expected) and merges.count() == len(rows) - 1
+        assert sum(name.startswith("merged") for name in names) < 20
+    steps = sorted(x for s in D.dendrogram(merges, table).collect() for x in (s.id1, s.id2))
+    assert steps == list(range(2 * len(rows) - 2))
+
+
+@pytest.mark.parametrize("dims", [2])
+def test_near_tree_edges(spark, dims):
+    """They hold the tree of all pairs, ties too, with points far out, and near blocks alone meet."""
+    r = random.Random(dims)
+    rows = [[float(r.randrange(9)) + r.choice([0.0, 0.5])] + [r.gauss(0, 3) for _ in range(dims - 1)] for _ in range(400)]
+    rows += [[60.0] * dims, [-90.0] + [3.0] * (dims - 1), [60.5] * dims]
+    table = points(spark, [(i, list(v)) for i, v in enumerate({tuple(v) for v in rows})])
+    pairs = P.pair_distances(table).select(F.col("i").alias("u"), F.col("j").alias("v"), F.col("d").alias("w"))
+    edges = C.near_tree_edges(table, 16).collect()
+    n = table.count()
+    assert len(edges) < 5 * n
+    tree = lambda df: {(x.u, x.v, x.w) for x in C.mst(df, table).collect()}
+    assert tree(spark.createDataFrame(edges)) == tree(pairs)
+    assert C.near_tree_edges(table.limit(1), 16).count() == 0
