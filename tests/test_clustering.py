@@ -243,3 +243,20 @@ def test_near_tree_edges(spark, dims):
     tree = lambda df: {(x.u, x.v, x.w) for x in C.mst(df, table).collect()}
     assert tree(spark.createDataFrame(edges)) == tree(pairs)
     assert C.near_tree_edges(table.limit(1), 16).count() == 0
+
+
+def test_members_at_one_place(spark, monkeypatch):
+    """Copies of a place need no round each, and count as many points in an average; also by centroids."""
+    r = random.Random(12)
+    rows = [(i, [r.random(), r.random()]) for i in range(30)]
+    rows += [(100 + i, rows[i % 3][1]) for i in range(90)] + [(200 + i, rows[5][1]) for i in range(3)]
+    table = points(spark, rows)
+    put, names = C.Tables.put, []
+    monkeypatch.setattr(C.Tables, "put", lambda self, name, df: names.append(name) or put(self, name, df))
+    rows_of = lambda merges: {(m.lo, m.hi, m.size, round(m.height, 9)) for m in merges.collect()}
+    for method, few in (("avg", {"matrix": 12, "finish": 12}), ("ward", {"finish": 12})):
+        squared = method == "ward"
+        expected = rows_of(C.hac_pairs(P.pair_distances(table, squared).withColumnRenamed("d", "m"), table.select("id"), method))
+        names.clear()
+        assert rows_of(C.hac(table, method, **few)) == expected and len(expected) == len(rows) - 1
+        assert sum(name.startswith("merged") for name in names) < 15
