@@ -391,6 +391,24 @@ def test_near_dedup_in_groups_with_another_leader(spark):
     assert {n for n in range(16) if by[2 * n] == by[2 * n + 1]} == agree
 
 
+def test_near_dedup_in_large_groups_leaves_out_no_close_pair(spark):
+    """Pairs of many lengths that share a passage, so that most members can't be close to a group's leader."""
+    r = random.Random(7)
+    passage, table = [f"p{i}" for i in range(30)], []
+    for n in range(60):
+        own = [f"{n}w{k}" for k in range(40 + 4 * n)]
+        edited = list(own)
+        for k in r.sample(range(len(own)), int(0.18 * (len(own) + 30))):
+            edited[k] = f"{n}e{k}"
+        table += [" ".join(own[:20] + passage + own[20:]), " ".join(edited[:20] + passage + edited[20:])]
+    sketch = order_min_hash(pa.array(table), 3, 4, 1)
+    assert max(Counter(sketch[:, j].tolist()).most_common(1)[0][1] for j in range(4)) > 32
+    agree = {n for n in range(60) if (sketch[2 * n] == sketch[2 * n + 1]).any()}
+    docs = spark.createDataFrame(list(enumerate(table)), "doc_id long, text string")
+    by = {r.doc_id: r.class_id for r in near_dedup(docs, sketches=4, sampled=1).collect()}
+    assert len(set(by.values())) >= 60 and agree <= {n for n in range(60) if by[2 * n] == by[2 * n + 1]}
+
+
 def test_near_dedup_finds_what_its_threshold_accepts(spark):
     r, table = random.Random(4), []
     for n in range(90):
