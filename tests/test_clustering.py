@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -260,3 +261,45 @@ def test_members_at_one_place(spark, monkeypatch):
         names.clear()
         assert rows_of(C.hac(table, method, **few)) == expected and len(expected) == len(rows) - 1
         assert sum(name.startswith("merged") for name in names) < 15
+
+
+@pytest.mark.parametrize("method", ["complete", "avg"])
+@pytest.mark.parametrize("split", [8192, 5])
+def test_packed_matrix_of_the_last_clusters(spark, method, split, monkeypatch):
+    """One task finishes many clusters from packed linkages, with the merges of the table of pairs."""
+    monkeypatch.setattr(L, "BLOCK_ROWS", 32)
+    r = random.Random(8)
+    table = points(spark, [(i, [r.gauss(0, 1) for _ in range(12)]) for i in range(90)])
+    expected = C.hac(table, method).collect()
+    out, clusters, pairs, rounds = L.hac_parts(table, method, 40, packed=True, split=split)
+    rows = clusters.select("k", "cid", "n", "var").unionByName(pairs, allowMissingColumns=True).withColumn("v", F.lit(None).cast("array<double>"))
+    merges = [m for part in [*out, C._finish_packed(rows, clusters.count(), method, rounds)] for m in part.collect()]
+    key = lambda ms: sorted((m.lo, m.hi, m.size, round(m.height, 9)) for m in ms)
+    assert key(merges) == key(expected) and max(m.round for m in merges) == max(m.round for m in expected)
+
+
+@pytest.mark.parametrize("method", ["ward", "avgsq"])
+def test_one_task_finishes_centroids(spark, method, monkeypatch):
+    r = random.Random(9)
+    table = points(spark, [(i, [r.gauss(0, 1) for _ in range(12)]) for i in range(90)] + [(200 + i, [1.0] * 12) for i in range(3)])
+    expected = C.hac(table, method).collect()
+    monkeypatch.setattr(C, "last_of", lambda n: 2000)
+    monkeypatch.setattr(C, "pair_distances", lambda *a, **k: pytest.fail("a row for each pair"))
+    key = lambda ms: sorted((m.lo, m.hi, m.size, round(m.height, 9)) for m in ms)
+    assert key(C.hac(table, method).collect()) == key(expected)
+
+
+@pytest.mark.parametrize("method", ["complete", "avg"])
+def test_linkages_by_tiles(method, monkeypatch):
+    """Clusters of all sizes, larger than a tile too."""
+    monkeypatch.setattr(L, "TILE", (16, 40))
+    r = np.random.default_rng(4)
+    for n, m in (([50, 17, 16, 9, 8, 7, 3, 3, 1, 1, 1], [90, 41, 40, 12, 2, 1, 1]), ([1] * 30, [1] * 70), ([2, 2, 1], [100]), ([7], [3, 1])):
+        n, m = np.array(n), np.array(m)
+        p, q, at, to = r.normal(size=(n.sum(), 5)), r.normal(size=(m.sum(), 5)), np.cumsum(n) - n, np.cumsum(m) - m
+        q[:4] = p[:4] if len(p) >= 4 and len(q) >= 4 else q[:4]
+        d = np.sqrt(((p[:, None] - q[None]) ** 2).sum(2))
+        f = np.maximum if method == "complete" else np.add
+        want = f.reduceat(f.reduceat(d, at, axis=0), to, axis=1)
+        got = L._reduced(p, q, at, to, method)
+        assert (np.sqrt(got) if method == "complete" else got) == pytest.approx(want, rel=1e-12)
